@@ -11,6 +11,7 @@ from .bpe import bpe_round_trip
 from .exact_dedup import exact_dedup
 from .scratch import new_path
 from .token_files import token_digests, token_offsets, write_token_files
+from .warc import capture_index, classify, write_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_offsets(spark, path).join(token_digests(spark, path), ["file", "row"]).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    write_warc(classify(table(spark, sf_dir, "pages"), least_bytes=1000), path)
+    return capture_index(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -33,11 +40,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
+    "op5_warc": op5_warc,
     "op8_bpe": op8_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_warc": """
+        SELECT page_id, size AS payload_bytes, sha1(body) AS payload_digest,
+               CASE WHEN size >= 1000 AND page_id IS DISTINCT FROM owner AND owner IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN size >= 1000 AND page_id IS DISTINCT FROM owner THEN owner END AS refers_to
+        FROM (SELECT page_id, body, CAST(strlen(body) AS BIGINT) AS size, max(page_id) OVER (PARTITION BY body) AS owner
+              FROM (SELECT page_id, coalesce(html, '') AS body FROM pages))""",
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
