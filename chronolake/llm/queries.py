@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_round_trip
+from .decontam import decontaminate
 from .exact_dedup import exact_dedup
 from .scratch import new_path
 from .token_files import token_digests, token_offsets, write_token_files
@@ -30,6 +31,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_index(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -41,6 +46,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op5_warc": op5_warc,
+    "op7_decontaminate": op7_decontaminate,
     "op8_bpe": op8_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
@@ -52,6 +58,18 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN size >= 1000 AND page_id IS DISTINCT FROM owner THEN owner END AS refers_to
         FROM (SELECT page_id, body, CAST(strlen(body) AS BIGINT) AS size, max(page_id) OVER (PARTITION BY body) AS owner
               FROM (SELECT page_id, coalesce(html, '') AS body FROM pages))""",
+    "op7_decontaminate": r"""
+        WITH d AS (SELECT doc_id, w, len(w) AS n, row_number() OVER () AS r FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)),
+        b AS (SELECT item_id, w, len(w) AS n FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0),
+        win AS (SELECT DISTINCT item_id, least(n, 10) AS k, array_to_string(w[i:i + least(n, 10) - 1], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(n - 10, 0) + 2)) AS i FROM b)),
+        size AS (SELECT DISTINCT k FROM win),
+        spot AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT r, w, k, unnest(range(1, n - k + 2)) AS i FROM d, size WHERE n >= k)),
+        hit AS (SELECT r, spot.k, i, item_id FROM spot JOIN win ON spot.k = win.k AND spot.s = win.s),
+        n AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT r, k, i FROM hit)) GROUP BY r),
+        it AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
+        SELECT doc_id, CAST(d.n AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN n USING (r) LEFT JOIN it USING (r)""",
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
