@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_round_trip
 from .decontam import decontaminate
 from .exact_dedup import exact_dedup
+from .near_dedup import near_dedup
 from .scratch import new_path
 from .token_files import token_digests, token_offsets, write_token_files
 from .warc import capture_index, classify, write_warc
@@ -25,6 +26,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_offsets(spark, path).join(token_digests(spark, path), ["file", "row"]).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_warc(classify(table(spark, sf_dir, "pages"), least_bytes=1000), path)
@@ -45,6 +50,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
+    "op3_near_dedup": op3_near_dedup,
     "op5_warc": op5_warc,
     "op7_decontaminate": op7_decontaminate,
     "op8_bpe": op8_bpe,
