@@ -12,6 +12,7 @@ from .decontam import decontaminate
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 from .scratch import new_path
+from .suffix_dedup import repeated_spans
 from .token_files import token_digests, token_offsets, write_token_files
 from .warc import capture_index, classify, write_warc
 
@@ -30,6 +31,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"), length=100).drop("spans")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_warc(classify(table(spark, sf_dir, "pages"), least_bytes=1000), path)
@@ -51,6 +56,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_near_dedup": op3_near_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_warc": op5_warc,
     "op7_decontaminate": op7_decontaminate,
     "op8_bpe": op8_bpe,
