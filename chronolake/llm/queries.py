@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
 from .decontam import decontaminate
 from .exact_dedup import exact_dedup
+from .language import identify_language, language_fold
 from .near_dedup import near_dedup
+from .quality import importance_resample
 from .scratch import new_path
 from .suffix_dedup import repeated_spans
 from .token_files import token_digests, token_offsets, write_token_files
+from .toxicity import score_toxicity, toxic_fold
 from .warc import capture_index, classify, write_warc
 
 
@@ -21,6 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("th")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -41,6 +49,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_index(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = toxic_fold(F.col("doc_id")) == 0
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out, held_out)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
@@ -49,17 +62,25 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = language_fold(F.col("doc_id")) == 2
+    return identify_language(table(spark, sf_dir, "documents"), ~held_out, held_out)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_token_files": op2_token_files,
     "op3_near_dedup": op3_near_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_warc": op5_warc,
+    "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
     "op8_bpe": op8_bpe,
+    "op9_language": op9_language,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
