@@ -219,18 +219,23 @@ def encode_texts(tokens: TokenAutomaton, texts: list[str | None]) -> tuple[np.nd
     return np.frombuffer(b"".join(parts), "<u4"), ends
 
 
-def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (array<int>) of each row's whole text."""
+def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """doc_id and ids (array<int>) of each row's whole text; with digest, decoded_sha256 of the text decoded from them."""
+    names = ["doc_id", "ids", *["decoded_sha256"] * digest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = automaton(path)
         for batch in batches:
             for at, texts in chunks(batch.column(1)):
                 ids, ends = encode_texts(tokens, texts)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), lists], ["doc_id", "ids"])
+                columns = [batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))]
+                if digest:
+                    decoded = (tokens.decode(ids[a:b]).decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()))
+                    columns.append(pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, ids array<int>" + ", decoded_sha256 string" * digest)
 
 
 def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

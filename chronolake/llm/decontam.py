@@ -59,7 +59,7 @@ def positions(docs: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs."""
+    """doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     parted = rows.select("doc_id", F.xxhash64("t").alias("th"), words(F.col("t")).alias("w")).withColumn("n_words", F.size("w").cast("long"))
     windows = windows_of(benchmark, window, shingle, item_col, item_text_col)
@@ -98,5 +98,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     step = lambda acc, x: F.struct(F.greatest(acc["end"], x["b"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(acc["end"], x["a"]))).alias("n"))
     ids = F.sort_array(F.array_distinct(F.flatten("lists")))
-    out = by_doc.select("doc_id", "n_words", F.aggregate("hits", zero, step, lambda acc: acc["n"]).cast("long").alias("n_hit"), ids.alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    out = by_doc.select("doc_id", "th", "n_words", F.aggregate("hits", zero, step, lambda acc: acc["n"]).cast("long").alias("n_hit"), ids.alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_"))
+    return out.select("doc_id", F.col("th").alias("text_hash"), "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """The rows of docs without a word in a window of the benchmark."""
+    hit = decontaminate(docs, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("_cl_id"), F.col("text_hash").alias("_cl_th")).distinct()
+    key = F.col("doc_id").eqNullSafe(F.col("_cl_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_cl_th"))
+    return docs.join(hit, key, "left_anti")

@@ -3,15 +3,17 @@
 Words, runs of signs and pairs of neighbours are hashed to ``BUCKETS`` buckets.  Two
 generative models are counted: of the target texts (labelled good, at most
 ``TARGET_ROWS`` of them) and of the raw texts (all rows).  The importance weight of a
-document is the ratio of its likelihoods.  Documents are drawn without replacement in
-proportion to their weight by Gumbel top-k: noise that depends on the id, the text and
-the seed alone is added to the log weight, and the k largest sums stay.  By default k is
-the number of documents that the target model makes likelier than the raw one.
+document is the ratio of its likelihoods; so that long texts don't outweigh all others,
+each is taken to have ``LENGTH`` n-grams (its mean log ratio times that).  Documents are
+drawn without replacement in proportion to their weight by Gumbel top-k: noise that
+depends on the id, the text and the seed alone is added to the log weight, and the k
+largest sums stay.  By default k is the number of documents that weigh at least as much
+as all but ``LOST`` of the good documents that were held back from the target model.
 
 The k-th largest sum is found by counts over ever narrower bins, never by a global sort.
 Null and empty texts have weight 1 (log weight 0).  Rows whose sums tie with the k-th
 all stay; rows that agree in id and text tie.  Null ids take part.  Without any target
-row every weight is 1.
+row every weight is 1 and all rows stay.
 """
 
 from __future__ import annotations
@@ -28,7 +30,10 @@ from .scratch import materialize
 
 BUCKETS = 1 << 16
 TARGET_ROWS = 20_000
-PRIOR = 300  # n-grams that a bucket is taken to have on both sides besides those seen
+PRIOR = 100  # n-grams that a bucket is taken to have on both sides besides those seen
+LENGTH = 1000
+HELD_BACK = 5  # of the good rows, one in so many
+LOST = 0.002
 BINS = 1024
 LAST_BIN = 10_000
 
@@ -57,8 +62,9 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
 def score_texts(ratios: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            weights = [float(ratios[ngram_buckets(x, BUCKETS)].sum()) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(weights, pa.float64())], ["doc_id", "th", "log_weight"])
+            found = (ngram_buckets(x, BUCKETS) for x in batch.column(2).to_pylist())
+            weights = [LENGTH * float(ratios[x].mean()) if len(x) else 0.0 for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(weights, pa.float64())], ["doc_id", "th", "probe", "log_weight"])
 
     return run
 
@@ -89,16 +95,21 @@ def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     good = sample_rows(labels.filter(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("doc_id")).dropna().distinct(), "doc_id", TARGET_ROWS)
+    good = good.withColumn("probe", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(HELD_BACK)) == 0)
     # at most TARGET_ROWS ids
-    marked = rows.join(F.broadcast(good.withColumn("good", F.lit(True))), "doc_id", "left").select("text", "good")
-    raw, target = dense(marked.mapInArrow(count_ngrams, "bucket bigint, raw bigint, target bigint"), ["raw", "target"], BUCKETS)
-    scored = rows.mapInArrow(score_texts(log_ratios(raw, target)), "doc_id bigint, th bigint, log_weight double")
+    marked = rows.join(F.broadcast(good), "doc_id", "left")
+    raw, target = dense(marked.select("text", (~F.col("probe")).alias("good")).mapInArrow(count_ngrams, "bucket bigint, raw bigint, target bigint"), ["raw", "target"], BUCKETS)
+    scored = marked.select("doc_id", "th", "text", "probe").mapInArrow(score_texts(log_ratios(raw, target)), "doc_id bigint, th bigint, probe boolean, log_weight double")
     # a uniform number in (0, 1) of the id, the text and the seed
     uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", "th", F.lit(seed)), 12).cast("double") + 0.5) / float(1 << 52)
     keys = materialize(scored.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))), "weights")
     if k is None:
-        k = keys.filter("log_weight >= 0").count()
+        # of at most TARGET_ROWS rows with distinct ids
+        probes = [x[0] for x in keys.filter("probe").groupBy("doc_id").agg(F.min("log_weight")).select("min(log_weight)").collect()]
+        least = float(np.quantile(probes, LOST)) if probes else float("-inf")
+        k = keys.filter(F.col("log_weight") >= least).count()
     n = keys.count()
+    keys = keys.drop("probe")
     if k <= 0 or n == 0:
         return keys.withColumn("kept", F.lit(False))
     return keys.withColumn("kept", F.col("key") >= F.lit(kth_largest(keys, min(k, n))))
