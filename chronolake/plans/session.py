@@ -139,12 +139,17 @@ class TemporalSession:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def take_row_ids(self, name: str, rows: DataFrame) -> Column:
-        """Fresh ids for as many rows; ids are never used again."""
-        n, first = rows.count(), self.state_of(name)["next_row_id"]
-        self.change(name, next_row_id=first + n)
-        key = TableConfig.from_json(self.state_of(name)["config"]).key
-        return F.lit(first - 1) + F.row_number().over(Window.orderBy(*key))
+    def with_row_ids(self, name: str, rows: DataFrame) -> DataFrame:
+        """rows with fresh ids where they have none; ids are never used again."""
+        first = self.state_of(name)["next_row_id"]
+        place = self.pinned(rows).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+        # one row for each file: where its rows begin among all
+        files = place.groupBy("_file").agg(F.count("*").alias("_n"))
+        begin = F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+        files = files.select("_file", F.coalesce(begin, F.lit(0)).alias("_begin"))
+        self.change(name, next_row_id=first + place.count())
+        fresh = F.lit(first) + F.col("_begin") + F.col("_at")
+        return place.join(files, "_file").withColumn(ROW_ID, F.coalesce(ROW_ID, fresh)).select(*rows.columns)
 
     # catalog
 

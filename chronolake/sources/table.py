@@ -152,8 +152,7 @@ class TemporalTable:
     def _stamp_rows(self, rows: DataFrame, tx: datetime, user: str | None) -> DataFrame:
         full = self._complete(rows)
         if self.config.lineage:
-            first = self.session.take_row_ids(self.name, full)
-            full = full.withColumn(V.ROW_ID, F.coalesce(V.ROW_ID, first))
+            full = self.session.with_row_ids(self.name, full)
         return full.withColumns({V.FROM: F.lit(tx), V.BY: F.lit(user).cast("string")}).select(*self.schema.names)
 
     def _check_rows(self, rows: DataFrame) -> None:
