@@ -109,7 +109,13 @@ def fit(labels: np.ndarray, own: list[np.ndarray], other: list[np.ndarray | None
     w, v, bias, vbias, t = np.zeros(m), np.zeros(m), 0.0, 0.0, 1.0
     # the step follows the curvature along each feature, bounded by the documents' lengths
     share = np.bincount(x.index, minlength=m) / n
-    step = 1.0 / (0.25 * np.sqrt(share) * np.sqrt(np.diff(x.starts).mean() * share.max() + 1) + 0.05 + (2 * counterfactual if pairs else 0))
+    curve = 0.25 * np.sqrt(share) * np.sqrt(np.diff(x.starts).mean() * share.max() + 1) + 0.05
+    if pairs:
+        # a bound of the penalty's curvature along each feature
+        change = [np.setxor1d(within(own[k]), within(other[k])) for k in pairs]
+        sizes = np.repeat([len(c) for c in change], [len(c) for c in change])
+        curve = curve + 2 * counterfactual / len(pairs) * np.bincount(np.concatenate(change), sizes, m)
+    step = 1.0 / curve
     for _ in range(steps):
         z = x.dot(v) + vbias
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / n
