@@ -11,6 +11,7 @@ Rows with a null id come first; rows of one id follow each other in order of the
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import chunks
+from .bpe import byte_letters, chunks
 from .cache import Cache
 
 ROW_GROUP_BYTES = 16 << 20
@@ -30,11 +31,21 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1000
 
 
+#: The steps before the merges of a lower-case tokenizer with word ends.
+LOWER_STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_RULE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: The same rule for printable ASCII and the letters of Latin-1, for which NFC changes nothing.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
 class LibraryEncoder:
     """The tokenizers library behind a cache of words.
 
     by_word: words between white space are encoded one by one; right for a tokenizer
     whose normalizer makes white space one blank and whose words never hold a blank.
+    Where the steps before the merges are the known ones, a plain word is cut here and
+    only its merges are left to the library's model.
     """
 
     def __init__(self, path: str, by_word: bool):
@@ -45,7 +56,23 @@ class LibraryEncoder:
         # str.split() also cuts at these, which are no white space to the library
         added = [re.escape(x.content) for x in self.library.get_added_tokens_decoder().values()]
         self.odd = re.compile("|".join(["[\x1c-\x1f]", *added]))
-        self.word = Cache(self.ids, 250_000)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        steps, cuts = (spec["normalizer"] or {}).get("normalizers"), (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        self.known = steps == LOWER_STEPS and cuts[0].get("pattern") == {"Regex": WORD_RULE} and len(cuts) == 2 and cuts[1].get("type") == "ByteLevel"
+        self.model = self.library.model
+        letters = {b: c for c, b in byte_letters().items()}
+        self.spelling = {k: "".join(letters[b] for b in chr(k).encode()) for k in range(256)}
+        self.part = Cache(self.merged, 150_000)
+        self.word = Cache(self.cut if self.known else self.ids, 150_000)
+
+    def merged(self, part: str) -> bytes:
+        return np.array([x.id for x in self.model.tokenize(part.translate(self.spelling))], "<u4").tobytes()
+
+    def cut(self, word: str) -> bytes:
+        if PLAIN.fullmatch(word):
+            return b"".join(map(self.part.__getitem__, PLAIN_WORDS.findall(word.lower())))
+        return self.ids(word)
 
     def ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
