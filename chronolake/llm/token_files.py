@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -63,19 +64,22 @@ class LibraryEncoder:
         self.model = self.library.model
         letters = {b: c for c, b in byte_letters().items()}
         self.spelling = {k: "".join(letters[b] for b in chr(k).encode()) for k in range(256)}
-        self.part = Cache(self.merged, 150_000)
-        self.word = Cache(self.cut if self.known else self.ids, 150_000)
+        self.part = Cache(self.merged, 220_000)
+        self.word = Cache(self.cut if self.known else self.ids, 180_000)
 
     def merged(self, part: str) -> bytes:
-        return np.array([x.id for x in self.model.tokenize(part.translate(self.spelling))], "<u4").tobytes()
+        # printable ASCII spells itself
+        return array("I", [x.id for x in self.model.tokenize(part if part.isascii() else part.translate(self.spelling))]).tobytes()
 
     def cut(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.part[word.lower()]
         if PLAIN.fullmatch(word):
             return b"".join(map(self.part.__getitem__, PLAIN_WORDS.findall(word.lower())))
         return self.ids(word)
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
