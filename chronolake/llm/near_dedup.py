@@ -1,17 +1,18 @@
 """Near-duplicate components by a chosen-path set similarity join.
 
 Documents with one shingle set are a class, represented by its smallest id.  In each of
-``TREES`` independent trees a representative goes to the node of its minwise shingle;
-two sets of similarity s meet in a node with probability s.  A node of more than
-``SMALL`` sets branches again by a minwise value that the node selects; a small one is
-compared exhaustively on 128-value sketches.  At similarity 0.8 a pair is missed by all
-trees with probability 0.2^16 where the first nodes are small, 0.36^16 one level below.
+``TREES`` independent trees a representative goes to the node of a path of ``PATH``
+minwise shingles; two sets of similarity s meet there with probability s^PATH.  A node
+of more than ``SMALL`` sets branches again by a minwise value that the node selects; a
+small one is compared exhaustively on 128-value sketches.  At similarity 0.8 a pair is
+missed by all trees with probability 0.36^12 (5e-6) where the first nodes are small.
 
 Pairs that the sketches allow are candidates.  In a dense node only links to a few hubs
 are candidates at first; large nodes link to their hub.  Candidates are confirmed on
 full shingle sets, and components are built from confirmed links.  A second round
-returns to the dense nodes, and to nodes that are large at the last level in blocks, for
-the pairs whose documents are not in one component yet, so that no candidate link
+returns to the dense nodes, and in blocks to large nodes that are little but their hub's
+family or have no level left, for the pairs whose documents are not in one component yet: documents outside a node's main
+component are compared with all of that component, and with each other, so that no candidate link
 between components is skipped, and pairs within a component are never enumerated.
 
 Null and empty texts have no shingles and are linked with nothing.  A row with a null id
@@ -31,16 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialize
-from .shingles import shingle_set
+from .shingles import mix, shingle_set
 
-TREES = 16
+TREES = 12
+PATH = 2
 SKETCH = 128
 SMALL = 1024
 LEVELS = 8
 MARGIN = 4  # standard deviations of the sketch's estimate below the threshold
 _rng = np.random.default_rng(20240229)
-_A = (_rng.integers(0, 1 << 31, TREES + SKETCH, dtype=np.uint64) * 2 + 1).astype(np.uint32)[:, None]
-_B = _rng.integers(0, 1 << 32, TREES + SKETCH, dtype=np.uint64).astype(np.uint32)[:, None]
+_A = (_rng.integers(0, 1 << 31, TREES * PATH + SKETCH, dtype=np.uint64) * 2 + 1).astype(np.uint32)[:, None]
+_B = _rng.integers(0, 1 << 32, TREES * PATH + SKETCH, dtype=np.uint64).astype(np.uint32)[:, None]
 
 
 def least_match(threshold: float) -> int:
@@ -49,18 +51,22 @@ def least_match(threshold: float) -> int:
 
 
 def signature(found: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """The minwise shingle of each tree, and the sketch of a non-empty set."""
+    """The first path of each tree, and the sketch of a non-empty set."""
     low = (found ^ (found >> np.uint64(29))).astype(np.uint32)
-    tokens, best, least = np.zeros(TREES, np.uint64), np.full(TREES, 1 << 32, np.uint64), np.full(SKETCH, 0xFFFFFFFF, np.uint32)
+    m = TREES * PATH
+    tokens, best, least = np.zeros(m, np.uint64), np.full(m, 1 << 32, np.uint64), np.full(SKETCH, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(low), 4096):
         part = low[at : at + 4096]
         hashed = _A * part + _B
-        first = hashed[:TREES].argmin(axis=1)
-        value = hashed[np.arange(TREES), first]
+        first = hashed[:m].argmin(axis=1)
+        value = hashed[np.arange(m), first]
         better = value < best
         tokens[better], best[better] = found[at + first[better]], value[better]
-        np.minimum(least, hashed[TREES:].min(axis=1), out=least)
-    return tokens, ((least * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8).tobytes()
+        np.minimum(least, hashed[m:].min(axis=1), out=least)
+    path = tokens[:TREES].copy()
+    for k in range(1, PATH):
+        path = mix(path * np.uint64(31) + tokens[k * TREES : (k + 1) * TREES])
+    return path, ((least * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
 def sign(size: int) -> Callable:
@@ -174,18 +180,27 @@ def compare_small(threshold: float) -> Callable:
     return run
 
 
-def compare_across(threshold: float) -> Callable:
-    """node, ob, rb, id, n, sketch, comp, role sorted by the first three: pairs of a row of role 1 with a row of role 0 of another component."""
+def compare_across(threshold: float, size: int, percent: int) -> Callable:
+    """g, ob, rb, id, n, sketch, comp, role, packed, sorted by the first three: confirmed links of a row of role 1 with a row of role 0 of another component."""
 
     def in_block(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int | None]]:
         ids, sizes, comps, role = (batch.column(k).to_numpy() for k in (3, 4, 6, 7))
         asking = np.flatnonzero(role == 1)
         if len(asking) in (0, len(ids)):
             return
+        unpack = zstandard.ZstdDecompressor().decompress
+        sets: dict[int, np.ndarray] = {}
+
+        def full(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingle_set(unpack(batch.column(8)[k].as_py()), size)
+            return sets[k]
+
         for a, b in allowed_pairs(sizes, sketches_of(batch.column(5)), threshold, asking):
-            other = (role[b] == 0) & (comps[b] != comps[a[0]])
-            if other.any():
-                yield ids[a[other]], ids[b[other]], None
+            b = b[(role[b] == 0) & (comps[b] != comps[a[0]])]
+            found = [k for k in b.tolist() if linked(full(int(a[0])), full(k), percent)]
+            if found:
+                yield np.repeat(ids[a[:1]], len(found)), ids[found], None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pair_batches(p for group in groups(batches, 3) for p in in_block(group))
@@ -193,13 +208,19 @@ def compare_across(threshold: float) -> Callable:
     return run
 
 
+def linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= percent * (len(s) + len(t) - both)
+
+
 def near_hub(threshold: float) -> Callable:
+    """node, id, hub, sketch, hub_sketch -> node, id, hub and whether the sketches allow a link with the hub."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                same = (sketches_of(batch.column(2)) == sketches_of(batch.column(3))).sum(axis=1) >= least_match(threshold)
-                a, b = batch.column(0).to_numpy()[same], batch.column(1).to_numpy()[same]
-                yield from pair_batches(iter([(a, b, None)]) if len(a) else iter([]))
+                same = (sketches_of(batch.column(3)) == sketches_of(batch.column(4))).sum(axis=1) >= least_match(threshold)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(same)], ["node", "id", "hub", "near"])
 
     return run
 
@@ -222,9 +243,7 @@ def confirm(size: int, percent: int) -> Callable:
         for batch in batches:
             keep = []
             for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                s, t = full(a, x), full(b, y)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
+                keep.append(linked(full(a, x), full(b, y), percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -239,32 +258,29 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """id and comp (the smallest id reachable) of every id in links (a, b), by alternating large and small stars."""
     edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # done once each id has either one smaller neighbour and no larger one, or none smaller
+        down, up = F.count_if(F.col("v") < F.col("u")), F.count_if(F.col("v") > F.col("u"))
+        if both.groupBy("u").agg(down.alias("down"), up.alias("up")).filter("down > 1 or down = 1 and up > 0").isEmpty():
+            break
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = materialize(large, "large")
+        large = materialize(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v"), "large")
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = large.join(small, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(edges, "edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
-        if now == before:
-            break
-        before = now
+        pairs = large.join(small, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        edges = materialize(pairs.distinct(), "edges")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
 def links_of(signed: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """id and comp of the representatives that have confirmed links.  docs: id, text."""
     threshold = percent / 100
-    key = "node bigint, id bigint"
-    reps = signed.filter("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"))
-    own = materialize(signed.join(reps, ["digest", "id"], "left_semi").dropDuplicates(["digest", "id"]).select("id", "n", "tokens", "sketch"), "own")
+    rep = signed.filter("n > 0 and id is not null").groupBy("digest").agg(F.min_by(F.struct("id", "n", "tokens", "sketch"), "id").alias("r"))
+    own = materialize(rep.select("r.*"), "own")
     lean = own.select("id", "n", "sketch")
 
     rows = own.select("id", F.posexplode("tokens").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "id")
-    small, hubs, level = [], [], 0
+    small, hubs, families, level = [], [], [], 0
     while True:
         sizes = rows.groupBy("node").agg(F.count("*").alias("m"), F.min("id").alias("hub")).filter("m > 1")
         rows = materialize(rows.join(sizes, "node").select("node", "id", "m", "hub"), f"level{level}")
@@ -272,13 +288,18 @@ def links_of(signed: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
         large = rows.filter(F.col("m") > SMALL)
         if large.isEmpty():
             break
-        with_sketch = large.join(lean, "id")
-        hub = lean.select(F.col("id").alias("hub"), F.col("sketch").alias("hub_sketch"))
-        hubs.append(with_sketch.filter("id <> hub").join(hub, "hub").select("id", "hub", "sketch", "hub_sketch").mapInArrow(near_hub(threshold), "a bigint, b bigint, node bigint"))
         level += 1
+        hub = lean.select(F.col("id").alias("hub"), F.col("sketch").alias("hub_sketch"))
+        flagged = large.join(lean, "id").join(hub, "hub").select("node", "id", "hub", "sketch", "hub_sketch").mapInArrow(near_hub(threshold), "node bigint, id bigint, hub bigint, near boolean")
+        flagged = materialize(flagged, f"hubs{level}")
+        hubs.append(flagged.filter("near and id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), F.lit(None).cast("bigint").alias("node")))
+        # a node that is little but its hub's family needs no more branching: the others ask all its rows in the second round
+        kinds = flagged.groupBy("node").agg((F.count_if(~F.col("near")) * 8 <= F.count("*")).alias("family"))
+        split = flagged.join(kinds, "node")
+        families.append(split if level == LEVELS else split.filter("family"))
         if level == LEVELS:
             break
-        rows = with_sketch.select(F.xxhash64("node", F.substr("sketch", F.pmod("node", F.lit(SKETCH)).cast("int") + 1, F.lit(1))).alias("node"), "id")
+        rows = split.filter("not family").select("node", "id").join(lean, "id").select(F.xxhash64("node", F.substr("sketch", F.pmod("node", F.lit(SKETCH)).cast("int") + 1, F.lit(1))).alias("node"), "id")
 
     nodes = small[0]
     for more in small[1:]:
@@ -289,35 +310,45 @@ def links_of(signed: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
         found = found.unionByName(more)
     found = materialize(found, "found")
     pairs = materialize(found.filter("node is null and a <> b").select("a", "b").distinct(), "pairs")
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    for more in families:
+        needed = needed.unionByName(more.select("id"))
+    needed = needed.distinct()
     texts = materialize(docs.join(needed, "id", "left_semi").select("id", F.col("text").cast("binary").alias("text")).mapInArrow(pack, "id bigint, packed binary"), "texts")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        x, y = texts.select(F.col("id").alias("a"), F.col("packed").alias("x")), texts.select(F.col("id").alias("b"), F.col("packed").alias("y"))
-        return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(confirm(size, percent), "a bigint, b bigint"), "links")
-
-    links = confirmed(pairs)
+    x, y = texts.select(F.col("id").alias("a"), F.col("packed").alias("x")), texts.select(F.col("id").alias("b"), F.col("packed").alias("y"))
+    links = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(confirm(size, percent), "a bigint, b bigint"), "links")
     comps = components(links)
 
     # dense nodes again, and nodes that are still large, for pairs across components
-    again = nodes.join(found.filter("node is not null").select("node").distinct(), "node", "left_semi").join(lean.select("id"), "id", "left_semi").select("node", "id")
-    if level == LEVELS:
-        again = again.unionByName(large.select("node", "id"))
+    again = nodes.join(found.filter("node is not null").select("node").distinct(), "node", "left_semi").select("node", "id")
+    for more in families:
+        again = again.unionByName(more.select("node", "id"))
     known = again.join(comps, "id", "left").select("node", "id", F.coalesce("comp", "id").alias("comp"))
     tally = known.groupBy("node", "comp").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"))
-    open_nodes = tally.filter(F.col("top.c") < F.col("all")).select("node", F.col("top.comp").alias("main"), F.ceil(F.col("all") / SMALL).cast("int").alias("rbs"), F.ceil((F.col("all") - F.col("top.c")) / SMALL).cast("int").alias("obs"))
-    ready = materialize(known.join(open_nodes, "node"), "open")
-    if ready.isEmpty():
+    open_nodes = tally.filter(F.col("top.c") < F.col("all")).select("node", F.col("top.comp").alias("main"))
+    outside = materialize(known.join(open_nodes, "node").filter("comp <> main"), "outside")
+    if outside.isEmpty():
         return comps
+    # who asks whom: those outside ask the node's main component as a whole, once, and each other
+    asks = outside.select(F.xxhash64("main", F.lit("component")).alias("g"), "id", "comp", "main").distinct()
+    mains = asks.select("g", "main").distinct()
+    whole = own.select("id").join(comps, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")).join(mains, F.col("comp") == F.col("main")).select("g", "id", "comp")
+    among = outside.select(F.col("node").alias("g"), "id", "comp")
+    roles = asks.select("g", "id", "comp", F.lit(1).alias("role")).unionByName(whole.withColumn("role", F.lit(0))).unionByName(among.withColumn("role", F.lit(1))).unionByName(among.withColumn("role", F.lit(0)))
+    sizes = roles.groupBy("g").agg(F.ceil(F.count_if(F.col("role") == 0) / SMALL).cast("int").alias("rbs"), F.ceil(F.count_if(F.col("role") == 1) / SMALL).cast("int").alias("obs"))
     block = lambda n: F.pmod(F.xxhash64("id", F.lit(1)), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    # rows outside the node's main component ask all rows
-    asking = ready.filter("comp <> main").withColumn("ob", block("obs")).withColumn("rb", all_of("rbs")).withColumn("role", F.lit(1))
-    asked = ready.withColumn("rb", block("rbs")).withColumn("ob", all_of("obs")).withColumn("role", F.lit(0))
-    blocks = asking.unionByName(asked, allowMissingColumns=True).select("node", "ob", "rb", "id", "comp", "role").join(lean, "id")
-    blocks = blocks.select("node", "ob", "rb", "id", "n", "sketch", "comp", "role").repartition("node", "ob", "rb").sortWithinPartitions("node", "ob", "rb", "role", "id")
-    more = blocks.mapInArrow(compare_across(threshold), "a bigint, b bigint, node bigint").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    return components(links.unionByName(confirmed(materialize(more, "more"))))
+    sized = roles.join(sizes, "g")
+    asking = sized.filter("role = 1").withColumn("ob", block("obs")).withColumn("rb", all_of("rbs"))
+    asked = sized.filter("role = 0").withColumn("rb", block("rbs")).withColumn("ob", all_of("obs"))
+    columns = ["g", "ob", "rb", "id", "comp", "role"]
+    blocks = asking.select(*columns).unionByName(asked.select(*columns)).join(lean, "id").join(texts, "id")
+    blocks = blocks.select("g", "ob", "rb", "id", "n", "sketch", "comp", "role", "packed").repartition("g", "ob", "rb").sortWithinPartitions("g", "ob", "rb", "role", "id")
+    found = materialize(blocks.mapInArrow(compare_across(threshold, size, percent), "a bigint, b bigint, node bigint").select("a", "b"), "more")
+    if found.isEmpty():
+        return comps
+    return components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(found))
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
