@@ -2,7 +2,8 @@
 
 Writing: a row becomes one WARC/1.1 record.  Records go through Spark's text writer,
 whose line separator is the record's end (CR LF CR LF), so that the archives are written
-to any store and committed as a whole.  Archives are cut by size.
+to any store, compressed, and committed as a whole.  Archives are cut by their number of
+records; offsets are those in the archive once it is decompressed.
 
 Payloads of at least ``least_bytes`` that are equal (same length, SHA-1 and SHA-256) are
 stored once: the record with the largest id is the response, the others are revisits
@@ -21,6 +22,7 @@ Without a timestamp column the capture time is the id in seconds after the epoch
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ARCHIVE_BYTES = 16 << 20
+ARCHIVE_RECORDS = 2000
 END = "\r\n\r\n"
 PREFIX = "urn:chronolake:page:"
 
@@ -60,7 +62,7 @@ def classify(pages: DataFrame, least_bytes: int = 1000, id_col: str = "page_id",
     return found.withColumn("refers_to", F.when(revisit, F.col("owner"))).drop("content", "owner", "copies")
 
 
-def write_warc(classified: DataFrame, out: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+def write_warc(classified: DataFrame, out: str, records_per_archive: int = ARCHIVE_RECORDS) -> None:
     """Write the archives of rows from classify()."""
     when = F.date_format(F.timestamp_seconds(F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     name = lambda c: F.concat(F.lit(f"<{PREFIX}"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
@@ -78,10 +80,7 @@ def write_warc(classified: DataFrame, out: str, archive_bytes: int = ARCHIVE_BYT
     ]
     rows = classified.withColumn("block", block)
     record = F.concat(head(*common, F.concat(F.lit("Content-Length: "), F.octet_length("block"))), F.lit(END), F.col("block"))
-    # a fixed mean length is enough: archives need not be equal, only small
-    held = classified.agg(F.coalesce(F.sum(F.col("payload_bytes") + 800), F.lit(0))).head()[0]
-    parts = int(held // archive_bytes) + 1
-    rows.select(record.alias("value")).repartition(parts, F.rand(7)).write.option("lineSep", END).text(out)
+    rows.select(record.alias("value")).write.options(lineSep=END, compression="gzip", maxRecordsPerFile=records_per_archive).text(out)
 
 
 class LoserTree:
@@ -167,7 +166,7 @@ def batches_of(rows: Iterator[tuple], most: int = 5000) -> Iterator[pa.RecordBat
 def read_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            yield from batches_of(iter(archive_run(name, content.as_py())))
+            yield from batches_of(iter(archive_run(name, gzip.decompress(content.as_py()))))
 
 
 def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
