@@ -1,7 +1,7 @@
 """A log of operations as row versions.
 
 ``by_lead`` is for logs in which each key has one operation at a time: a version ends
-where the next operation begins.  ``fold`` obeys every rule of the write path, several
+where the next operation begins; ``by_transaction`` for logs of upserts alone.  ``fold`` obeys every rule of the write path, several
 operations in one transaction and combined bursts included.
 
 Fold works on segments of a key's log.  An operation later than its predecessor by more
@@ -42,6 +42,17 @@ def by_lead(log: DataFrame, keys: Sequence[str], values: Sequence[str], at: str,
     )
 
 
+def by_transaction(log: DataFrame, keys: Sequence[str], values: Sequence[str], at: str, by: str, order: Sequence[str]) -> DataFrame:
+    """Versions of a log without deletes and combine interval: of a transaction's operations on a key the last one counts.
+
+    Windows only, all sorted alike by key, time and order.
+    """
+    whole = Window.partitionBy(*keys).orderBy(at, *order)
+    changed = visible(log.withColumn("_gone", F.lit(False)), keys, values, at, "_gone", order)
+    last = changed.withColumn("_next", F.lead(at).over(whole)).filter(F.col("_next").isNull() | (F.col("_next") > F.col(at)))
+    return last.select(*keys, *values, F.col(at).alias(FROM), F.col(by).alias(BY), F.col("_next").alias(TO), F.lit(None).cast("string").alias(DELETED_BY), F.col("_next").isNull().alias(CURRENT))
+
+
 def fold(log: DataFrame, keys: Sequence[str], values: Sequence[str], at: str, by: str, deleted: str, order: Sequence[str] = (), interval_us: int = 0) -> DataFrame:
     """Versions of a log under the rules of the write path; order breaks ties within a transaction."""
     micros = F.unix_micros(F.col(at).cast("timestamp"))

@@ -46,8 +46,8 @@ def account(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), F.lit("etl").alias("who"), F.lit(False).alias("gone"), "o_orderstatus", "o_orderpriority")
-    return replay.fold(log, ["o_custkey"], ["o_orderstatus", "o_orderpriority"], "ts", "who", "gone", ["o_orderkey"])
+    log = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), F.lit("etl").alias("who"), "o_orderstatus", "o_orderpriority")
+    return replay.by_transaction(log, ["o_custkey"], ["o_orderstatus", "o_orderpriority"], "ts", "who", ["o_orderkey"])
 
 
 def combined(spark: SparkSession, sf_dir: str) -> DataFrame:

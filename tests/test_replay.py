@@ -93,3 +93,10 @@ def test_properties(spark):
         t = F.lit(T0 + timedelta(seconds=s)).cast("timestamp_ntz")
         before, after = (V.as_of(base, h, t).select("k", "v") for h in (history, merged))
         assert before.exceptAll(after).isEmpty() and after.exceptAll(before).isEmpty()
+
+
+def test_by_transaction_equals_fold(spark):
+    log = as_frame(spark, [x for x in random_log(5) if not x[4]])
+    whole = replay.fold(log, ["k"], ["v"], "ts", "who", "gone", ["n"])
+    plain = replay.by_transaction(log, ["k"], ["v"], "ts", "who", ["n"])
+    assert whole.exceptAll(plain.select(*whole.columns)).isEmpty() and plain.select(*whole.columns).exceptAll(whole).isEmpty()
