@@ -314,7 +314,8 @@ def links_of(signed: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     for more in families:
         needed = needed.unionByName(more.select("id"))
     needed = needed.distinct()
-    texts = materialize(docs.join(needed, "id", "left_semi").select("id", F.col("text").cast("binary").alias("text")).mapInArrow(pack, "id bigint, packed binary"), "texts")
+    # the ids have no proven bound, so they are never broadcast
+    texts = materialize(docs.join(needed.hint("merge"), "id", "left_semi").select("id", F.col("text").cast("binary").alias("text")).mapInArrow(pack, "id bigint, packed binary"), "texts")
 
     x, y = texts.select(F.col("id").alias("a"), F.col("packed").alias("x")), texts.select(F.col("id").alias("b"), F.col("packed").alias("y"))
     links = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(confirm(size, percent), "a bigint, b bigint"), "links")
