@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .features import dense, fold, sample_rows, sparse_sums
 
 BUCKETS = 1 << 16
-TRAIN_ROWS = 4_000
+TRAIN_ROWS = 2_000
 PASSES = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
 CHUNK = 1 << 16
@@ -101,6 +101,13 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(tried[int(np.argmin(loss))])
 
 
+def sampled(known: DataFrame, chosen: DataFrame):
+    """The rows of the chosen ids on the driver; ids are chosen first, so that no task returns more texts than are used."""
+    ids = chosen.withColumnRenamed("doc_id", "_cl_id")
+    found = known.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_cl_id")), "left_semi").toPandas()
+    return found.sort_values("doc_id").reset_index(drop=True)
+
+
 def predict(names: list[str], weights: np.ndarray, idf: np.ndarray, heat: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.ascontiguousarray((weights * idf).T)
@@ -137,7 +144,8 @@ def identify_language(docs: DataFrame, learn: Column, held_out: Column, id_col:
     df, rows = dense(known.select("text").mapInArrow(count_documents, "bucket bigint, df bigint, rows bigint"), ["df", "rows"], BUCKETS)
     idf = np.log((1 + rows[0]) / (1 + df)) + 1
     # at most 2 * TRAIN_ROWS texts: the first half to train, the second for the temperature
-    some = sample_rows(known, "doc_id", 2 * TRAIN_ROWS).toPandas()
+    chosen = sample_rows(known.select("doc_id").distinct(), "doc_id", 2 * TRAIN_ROWS)
+    some = sampled(known, chosen).sample(frac=1, random_state=1)
     names = sorted(some["lang"].unique())
     labels = np.array([names.index(x) for x in some["lang"]], np.int64)
     vectors = [tf_idf(x, idf) for x in some["text"]]
