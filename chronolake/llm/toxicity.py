@@ -28,7 +28,7 @@ from .cache import Cache
 from .features import fold, sample_rows
 
 BUCKETS = 1 << 20
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 3_000
 STEPS = 200
 L1 = 1e-4
 COUNTERFACTUAL = 1.0
@@ -80,7 +80,7 @@ class Rows:
     """Sparse rows of ones."""
 
     def __init__(self, rows: list[np.ndarray]):
-        self.index = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
+        self.index = np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int32)
         self.starts = np.cumsum([0, *map(len, rows)])
 
     def dot(self, w: np.ndarray) -> np.ndarray:
