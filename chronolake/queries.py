@@ -112,7 +112,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "asof_scan": "SELECT * FROM {acc}",
     "asof_join": """SELECT n_name, event_type, count(*) AS accounts, round(sum(value), 2) AS total, count(DISTINCT o_orderstatus) AS states
         FROM {acc} a JOIN {cust} s ON a.user_id = s.o_custkey JOIN {customer} ON c_custkey = a.user_id JOIN {nation} ON n_nationkey = c_nationkey GROUP BY n_name, event_type""",
-    "asof_left_join": "SELECT c_custkey, event_type, value FROM {customer} LEFT JOIN {acc} a ON c_custkey = a.user_id WHERE c_custkey <= 300",
+    "asof_left_join": "SELECT c_custkey, event_type, value FROM {customer} LEFT JOIN {acc} a ON c_custkey = a.user_id",
     "asof_right_join": "SELECT a.user_id, o_orderstatus FROM {cust} s RIGHT JOIN {acc} a ON a.user_id = s.o_custkey",
     "asof_full_join": "SELECT a.user_id, l.user_id AS late_id, a.event_type, l.event_type AS late_type FROM {acc} a FULL JOIN {late} l ON a.user_id = l.user_id",
     "asof_cross_join": "SELECT count(*) AS pairs FROM (SELECT DISTINCT event_type FROM {acc}) CROSS JOIN (SELECT DISTINCT changed_by FROM {late})",
@@ -147,7 +147,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "asof_paging": "SELECT user_id, value FROM {acc} ORDER BY user_id LIMIT 10 OFFSET 20",
     "asof_predicates": ("SELECT user_id FROM {acc} WHERE array_contains(array('click', 'view'), event_type) AND forall(array(500D, 900D), x -> value < x) AND event_type RLIKE '^(click|view|purchase)$' AND changed_by IS DISTINCT FROM 'u0' AND event_type LIKE '%i%'", "SELECT user_id FROM {acc} WHERE event_type = ANY(['click', 'view']) AND value < 500 AND value < 900 AND regexp_full_match(event_type, 'click|view|purchase') AND changed_by IS DISTINCT FROM 'u0' AND event_type LIKE '%i%'"),
     "asof_unnest": ("SELECT user_id, pos + 1 AS ord, part FROM (SELECT user_id, posexplode(split(concat(event_type, '/', changed_by), '/')) AS (pos, part) FROM {acc})", "SELECT user_id, CAST(i AS INTEGER) AS ord, parts[i] AS part FROM (SELECT user_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT user_id, string_split(event_type || '/' || changed_by, '/') AS parts FROM {acc}))"),
-    "asof_recursive": "WITH RECURSIVE hop(user_id, depth) AS (SELECT min(user_id), 0 FROM {acc} UNION ALL SELECT h.user_id + 7, h.depth + 1 FROM hop h WHERE h.depth < 6) SELECT h.user_id, depth, event_type FROM hop h JOIN {acc} a ON a.user_id = h.user_id",
+    "asof_recursive": "WITH RECURSIVE hop(user_id, depth) AS (SELECT user_id, 0 FROM {acc} UNION ALL SELECT h.user_id + 7, h.depth + 1 FROM hop h WHERE h.depth < 6) SELECT h.user_id, depth, event_type FROM hop h JOIN {acc} a ON a.user_id = h.user_id",
     "asof_date_math": ("SELECT user_id, date_trunc('DAY', valid_from) AS day, extract(HOUR FROM valid_from) AS hour, valid_from + INTERVAL '1' DAY AS plus_day FROM {acc}", "SELECT user_id, CAST(date_trunc('day', valid_from) AS TIMESTAMP) AS day, CAST(extract(hour FROM valid_from) AS INTEGER) AS hour, valid_from + INTERVAL 1 DAY AS plus_day FROM {acc}"),
     "asof_strings": ("SELECT user_id, concat(upper(event_type), ':', left(changed_by, 1), ':', repeat('x', 2)) AS s, length(event_type) AS n, coalesce(nullif(event_type, 'view'), 'none') AS k, hex(event_type) AS h FROM {acc}", "SELECT user_id, upper(event_type) || ':' || left(changed_by, 1) || ':' || repeat('x', 2) AS s, CAST(length(event_type) AS INTEGER) AS n, coalesce(nullif(event_type, 'view'), 'none') AS k, hex(event_type) AS h FROM {acc}"),
     "asof_math": "SELECT user_id, round(value / 3, 2) AS third, least(value, 50) AS capped, greatest(value, 10) AS floored, CAST(floor(value) AS BIGINT) AS whole FROM {acc}",

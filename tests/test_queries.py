@@ -28,3 +28,14 @@ def test_query_equals_its_sql(spark, name):
 def test_every_query_has_its_sql_or_a_reason():
     left = set(entry.queries()) - set(entry.oracle_sql())
     assert all(n == "pipeline" or n.startswith("op") for n in left)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_left_join_and_recursion_cover_the_whole_table(spark):
+    table = "/root/testdata/sf0.01"
+    customers = {r.c_custkey for r in spark.read.parquet(f"{table}/customer.parquet").select("c_custkey").collect()}
+    left = [r.c_custkey for r in entry.queries()["asof_left_join"](spark, table).select("c_custkey").collect()]
+    assert len(left) == len(customers) and set(left) == customers
+    users = {r.user_id for r in entry.queries()["asof_scan"](spark, table).select("user_id").collect()}
+    hops = [(r.user_id, r.depth) for r in entry.queries()["asof_recursive"](spark, table).collect()]
+    assert sorted(hops) == sorted((u + 7 * k, k) for u in users for k in range(7) if u + 7 * k in users)
