@@ -7,7 +7,8 @@ score (log odds) when the identity terms in it are swapped for others of their k
 mentioning a group then moves no score, and neutral mentions are no false positives.
 
 The classifier is fitted on at most ``TRAIN_ROWS`` labelled rows, those with the least
-hash of the id; all rows are scored on their whole texts.  Null and empty texts get the
+hash of the id and one row for each id; they reach the driver as packed buckets.  All
+rows are scored on their whole texts.  Null and empty texts get the
 score of a text without words.  Rows with a null id are scored and count as an empty id
 for the fold; labels with a null id, null label or no document are not used.  Without
 labels of both kinds every score is the share of toxic ones (0.5 where there is none).
@@ -28,7 +29,8 @@ from .cache import Cache
 from .features import fold, sample_rows
 
 BUCKETS = 1 << 20
-TRAIN_ROWS = 3_000
+TRAIN_ROWS = 8_000
+CHUNK = 1 << 18
 STEPS = 200
 L1 = 1e-4
 COUNTERFACTUAL = 1.0
@@ -68,27 +70,37 @@ def collect_features(terms: Sequence[Sequence[str]]) -> Callable:
             own, other = [], []
             for text in batch.column(0).to_pylist():
                 words = set(WORDS.findall((text or "").lower()))
-                own.append(features(words))
+                own.append(features(words).tobytes())
                 twin = swapped(words, terms)
-                other.append(None if twin is None else features(twin))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], ["label", "own", "other"])
+                other.append(None if twin is None else features(twin).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(own, pa.binary()), pa.array(other, pa.binary())], ["doc_id", "label", "own", "other"])
 
     return run
 
 
 class Rows:
-    """Sparse rows of ones."""
+    """Sparse rows of ones; products go by runs of rows of about CHUNK entries, so that none is as large as all rows."""
 
     def __init__(self, rows: list[np.ndarray]):
-        self.index = np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int32)
+        self.index = np.concatenate([*rows, np.empty(0, np.int32)], dtype=np.int32, casting="unsafe")
         self.starts = np.cumsum([0, *map(len, rows)])
+        cuts = np.searchsorted(self.starts, np.arange(0, self.starts[-1], CHUNK))
+        self.runs = np.unique([0, *cuts, len(rows)])
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        ends = np.concatenate([[0.0], np.cumsum(w[self.index])])
-        return ends[self.starts[1:]] - ends[self.starts[:-1]]
+        out = [np.empty(0)]
+        for a, b in zip(self.runs, self.runs[1:]):
+            at = self.starts[a : b + 1]
+            ends = np.concatenate([[0.0], np.cumsum(w[self.index[at[0] : at[-1]]])])
+            out.append(np.diff(ends[at - at[0]]))
+        return np.concatenate(out)
 
     def back(self, g: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(self.index, np.repeat(g, np.diff(self.starts)), n)
+        out = np.zeros(n)
+        for a, b in zip(self.runs, self.runs[1:]):
+            at = self.starts[a : b + 1]
+            out += np.bincount(self.index[at[0] : at[-1]], np.repeat(g[a:b], np.diff(at)), n)
+        return out
 
 
 def fit(labels: np.ndarray, own: list[np.ndarray], other: list[np.ndarray | None], steps: int = STEPS, l1: float = L1, counterfactual: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
@@ -97,12 +109,14 @@ def fit(labels: np.ndarray, own: list[np.ndarray], other: list[np.ndarray | None
     if n == 0 or labels.min() == labels.max():
         p = labels.mean() if n else 0.5
         return np.zeros(BUCKETS), float(np.log((p + 1e-3) / (1 - p + 1e-3)))
-    used, inverse = np.unique(np.concatenate(own), return_inverse=True)
-    often = np.bincount(inverse) >= 2
-    place = np.full(BUCKETS, -1)
-    place[used[often]] = np.arange(often.sum())
-    m = int(often.sum())
-    within = lambda x: (p := place[np.asarray(x, np.int64)])[p >= 0]
+    seen = np.zeros(BUCKETS, np.int64)
+    for r in own:
+        seen[r] += 1
+    often = np.flatnonzero(seen >= 2)
+    m = len(often)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[often] = np.arange(m)
+    within = lambda x: (p := place[x])[p >= 0]
     x = Rows([within(r) for r in own])
     pairs = [k for k, r in enumerate(other) if r is not None]
     a, b = Rows([within(own[k]) for k in pairs]), Rows([within(other[k]) for k in pairs])
@@ -130,7 +144,7 @@ def fit(labels: np.ndarray, own: list[np.ndarray], other: list[np.ndarray | None
         v, vbias = new + (t - 1) / after * (new - w), new_bias + (t - 1) / after * (new_bias - bias)
         w, bias, t = new, new_bias, after
     out = np.zeros(BUCKETS)
-    out[used[often]] = w
+    out[often] = w
     return out, float(bias)
 
 
@@ -159,9 +173,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, held_out:
     some = sample_rows(known, "doc_id", TRAIN_ROWS)
     rows = docs.select(ids, F.col(text_col).alias("text"))
     # at most TRAIN_ROWS labels
-    marked = rows.join(F.broadcast(some), "doc_id").select("text", "label")
-    found = marked.mapInArrow(collect_features(terms), "label int, own array<int>, other array<int>").toPandas()
-    weights, bias = fit(found["label"].to_numpy(float), list(found["own"]), [None if x is None else x for x in found["other"]])
+    marked = rows.join(F.broadcast(some), "doc_id").select("text", "doc_id", "label")
+    packed = marked.mapInArrow(collect_features(terms), "doc_id bigint, label int, own binary, other binary")
+    found = packed.groupBy("doc_id").agg(F.min(F.struct("label", "own", "other")).alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id")
+    unpack = lambda x: None if x is None else np.frombuffer(x, np.int32)
+    weights, bias = fit(found["label"].to_numpy(float), list(map(unpack, found["own"])), list(map(unpack, found["other"])))
     places = np.flatnonzero(weights)
     scored = rows.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(score_texts(places, weights[places], bias), "doc_id bigint, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -315,3 +315,25 @@ def test_language(spark):
     assert all(r.held_out == (zlib.crc32(str(k).encode()) % 4 == 2) for k, r in got.items() if k is not None)
     assert {r.lang_pred for r in language.identify_language(docs.withColumn("lang", F.lit(None).cast("string")), ~held, held).collect()} == {"und"}
     assert language.identify_language(docs.limit(0), ~held, held).count() == 0
+
+
+def test_language_learns_rare_ones_from_one_row_an_id(spark, monkeypatch):
+    random.seed(19)
+    monkeypatch.setattr(language, "TRAIN_ROWS", 20)
+    kinds = {"aa": ["the", "and", "thing", "shore"], "bb": ["der", "und", "schön", "ganz"], "zz": ["kwyjibo", "xoxo", "qaqaq", "wuwu"]}
+    rows = [(k, " ".join(random.choice(kinds[lang]) for _ in range(30)), lang) for k in range(1500) for lang in ["zz" if k % 500 == 0 else random.choice(["aa", "bb"])]]
+    hot = [(0, rows[0][1], "zz")] * 50 + [(None, "the shore", "aa")] * 50
+    docs = spark.createDataFrame(rows + hot, "doc_id bigint, text string, lang string").repartition(3)
+    found = language.sampled(docs)
+    assert len(found) == found["doc_id"].nunique(dropna=False) and found["lang"].value_counts().to_dict() == {"aa": 200, "bb": 200, "zz": 3}
+    got = {r.doc_id: r.lang_pred for r in language.identify_language(docs, F.lit(True), F.lit(False)).collect()}
+    assert all(got[k] == lang for k, _, lang in rows)
+
+
+def test_toxicity_fits_on_8000_rows_one_an_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda labels, own, other: seen.append((len(labels), own[0].dtype)) or (np.zeros(toxicity.BUCKETS), 0.0))
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), "id").alias("text"))
+    labels = spark.range(9000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+    toxicity.score_toxicity(docs.unionByName(docs.limit(500)), labels, F.lit(True), F.lit(False))
+    assert seen == [(8000, np.int32)]
