@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,12 +48,16 @@ def multirange_overlaps(m: Column, n: Column) -> Column:
 
 
 def portion_of(df: DataFrame, start: str, end: str, a, b, changed: dict[str, Column]) -> DataFrame:
-    """Rows with application time [start, end): the part in [a, b) with other values, the parts before and after as they were."""
+    """Rows with application time [start, end): the part in [a, b) with other values, the parts before and after as they were.
+
+    A null bound, of a row or of the portion, is open.
+    """
     a, b = (F.lit(x) if not isinstance(x, Column) else x for x in (a, b))
-    hit = (F.col(start) < b) & (F.col(end) > a)
+    either = lambda x: F.coalesce(x, F.lit(True))
+    hit = either(F.col(start) < b) & either(F.col(end) > a)
     inside = df.filter(hit).withColumns({start: F.greatest(F.col(start), a), end: F.least(F.col(end), b)} | changed).select(*df.columns)
-    before = df.filter(hit & (F.col(start) < a)).withColumn(end, a.cast(df.schema[end].dataType))
-    after = df.filter(hit & (F.col(end) > b)).withColumn(start, b.cast(df.schema[start].dataType))
+    before = df.filter(hit & a.isNotNull() & either(F.col(start) < a)).withColumn(end, a.cast(df.schema[end].dataType))
+    after = df.filter(hit & b.isNotNull() & either(F.col(end) > b)).withColumn(start, b.cast(df.schema[start].dataType))
     return df.filter(~hit).unionByName(inside).unionByName(before).unionByName(after)
 
 
@@ -139,14 +145,21 @@ def bits(text: Column) -> Column:
 # recursion
 
 
-def walk(edges: DataFrame, parent: str, child: str, start: Column, most: int = 20) -> DataFrame:
-    """node, depth, path and cycle, depth first in order of path: each step a join, nodes on the path end it."""
+def walk(edges: DataFrame, parent: str, child: str, start: Column, most: int | None = None) -> DataFrame:
+    """node, depth, path and cycle, depth first in order of path: each step a join, nodes on the path end it.
+
+    With most, a walk of more steps is an error.
+    """
     step = edges.select(F.col(parent).alias("_p"), F.col(child).alias("_c"))
     level = edges.filter(start).select(F.col(parent).alias("node")).distinct().select("node", F.lit(0).alias("depth"), F.array("node").alias("path"), F.lit(False).alias("cycle"))
     found = level
-    for depth in range(1, most + 1):
+    for depth in count(1):
         nxt = level.filter(~F.col("cycle")).join(step, F.col("node") == F.col("_p")).select(F.col("_c").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array("_c")).alias("path"), F.array_contains("path", F.col("_c")).alias("cycle"))
+        # kept, so that a deep walk doesn't do all steps again for each step
+        nxt = nxt.localCheckpoint()
         if nxt.isEmpty():
             break
+        if most is not None and depth > most:
+            raise ValueError(f"the walk has more than {most} steps")
         level, found = nxt, found.unionByName(nxt)
     return found.orderBy("path")

@@ -1,5 +1,6 @@
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from chronolake.functions import compat as X
@@ -46,3 +47,22 @@ def test_walk_marks_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "p int, c int")
     found = [(r.node, r.depth, r.cycle) for r in X.walk(edges, "p", "c", F.col("p") == 1).collect()]
     assert found == [(1, 0, False), (2, 1, False), (3, 2, False), (1, 3, True)]
+
+
+def test_walk_has_no_limit_of_its_own(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(25)], "p int, c int")
+    assert [r.depth for r in X.walk(edges, "p", "c", F.col("p") == 0).collect()] == list(range(26))
+    assert X.walk(edges, "p", "c", F.col("p") == 20, most=5).count() == 6
+    with pytest.raises(ValueError):
+        X.walk(edges, "p", "c", F.col("p") == 20, most=4)
+
+
+def test_portion_of_keeps_open_periods(spark):
+    df = spark.createDataFrame([("u", None, date(2024, 1, 15), 1), ("v", date(2024, 1, 15), None, 2), ("w", None, None, 3), ("x", None, date(2024, 1, 5), 4)], "sku string, a date, b date, cents int")
+    out = X.portion_of(df, "a", "b", date(2024, 1, 10), date(2024, 1, 20), {"cents": F.lit(9)}).collect()
+    day = lambda t: t and t.day
+    assert sorted((r.sku, day(r.a) or 0, day(r.b) or 0, r.cents) for r in out) == [
+        ("u", 0, 10, 1), ("u", 10, 15, 9), ("v", 15, 20, 9), ("v", 20, 0, 2), ("w", 0, 10, 3), ("w", 10, 20, 9), ("w", 20, 0, 3), ("x", 0, 5, 4)
+    ]
+    out = X.portion_of(df, "a", "b", date(2024, 1, 10), F.lit(None).cast("date"), {"cents": F.lit(9)}).collect()
+    assert sorted((r.sku, day(r.a) or 0, day(r.b) or 0, r.cents) for r in out) == [("u", 0, 10, 1), ("u", 10, 15, 9), ("v", 15, 0, 9), ("w", 0, 10, 3), ("w", 10, 0, 9), ("x", 0, 5, 4)]
