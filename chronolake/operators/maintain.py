@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .changes import comparable
@@ -16,6 +16,13 @@ def prune(history: DataFrame, cutoff) -> DataFrame:
     return history.filter(F.col(TO) >= moment(cutoff))
 
 
+def drop_before(history: DataFrame, cutoff, segment: Column) -> DataFrame:
+    """The history without whole segments that ended before cutoff, and without such versions of the others."""
+    ended = history.groupBy(segment.alias("_segment")).agg(F.max(TO).alias("_end")).filter(F.col("_end") < moment(cutoff))
+    kept = history.withColumn("_of", segment).join(ended, F.col("_of").eqNullSafe(F.col("_segment")), "left_anti").select(*history.columns)
+    return prune(kept, cutoff)
+
+
 def compact(history: DataFrame, keys: Sequence[str], base_columns: Sequence[str], excluded: Sequence[str] = ()) -> DataFrame:
     """Neighbouring versions of a key with equal visible columns as one, from the first's start to the last's end.
 

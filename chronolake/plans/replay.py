@@ -32,13 +32,22 @@ def visible(log: DataFrame, keys: Sequence[str], values: Sequence[str], at: str,
     return log.withColumn("_drop", F.coalesce(same | nothing, F.lit(False))).filter(~F.col("_drop")).drop("_drop")
 
 
-def by_lead(log: DataFrame, keys: Sequence[str], values: Sequence[str], at: str, by: str, deleted: str) -> DataFrame:
-    """Versions of a log with one operation for each key and time."""
+def by_lead(log: DataFrame, keys: Sequence[str], values: Sequence[str], at: str, by: str, deleted: str, excluded: Sequence[str] = ()) -> DataFrame:
+    """Versions of a log with one operation for each key and time.
+
+    Updates of excluded columns alone make no version; a version has their last values in its time.
+    """
     w = Window.partitionBy(*keys).orderBy(at)
+    if excluded:
+        image, gone = F.struct(*values), F.lag(deleted).over(w)
+        same = F.coalesce(~F.col(deleted) & ~gone & F.lag(image).over(w).eqNullSafe(image), F.lit(False))
+        # sorted backwards, the last of a run of operations with the same visible values comes first
+        back = Window.partitionBy(*keys, "_run").orderBy(F.col(at).desc())
+        log = log.withColumn("_same", same).withColumn("_run", F.sum((~F.col("_same")).cast("int")).over(w)).withColumns({c: F.first(c).over(back) for c in excluded})
     seen = visible(log, keys, values, at, deleted, ())
     seen = seen.withColumns({TO: F.lead(at).over(w), "_gone": F.lead(deleted).over(w), "_by": F.lead(by).over(w)})
     return seen.filter(~F.col(deleted)).select(
-        *keys, *values, F.col(at).alias(FROM), F.col(by).alias(BY), TO, F.when(F.col("_gone"), F.col("_by")).alias(DELETED_BY), F.col(TO).isNull().alias(CURRENT)
+        *keys, *values, *excluded, F.col(at).alias(FROM), F.col(by).alias(BY), TO, F.when(F.col("_gone"), F.col("_by")).alias(DELETED_BY), F.col(TO).isNull().alias(CURRENT)
     )
 
 

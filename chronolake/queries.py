@@ -41,6 +41,13 @@ def event_log(spark: SparkSession, sf_dir: str, users: int = 3) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), who.alias("who"), (F.col("event_type") == "error").alias("gone"), "event_type", "value", "props")
 
 
+def props_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with each event that leaves a row followed by an update of ``props`` alone, by another user."""
+    log = event_log(spark, sf_dir)
+    after = log.filter(~F.col("gone")).withColumns({"ts": F.col("ts") + F.expr("INTERVAL '0.000001' SECOND"), "who": F.lit("props"), "props": F.concat(F.lit("later than "), F.col("event_id").cast("string"))})
+    return log.unionByName(after)
+
+
 def account(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.by_lead(event_log(spark, sf_dir), KEY, VALUES, "ts", "who", "gone")
 
@@ -261,6 +268,7 @@ MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "heatmap_bin": (lambda s, d: C.heatmap(account(s, d), KEY, 6 * 3600), "SELECT time_bucket(INTERVAL 6 HOUR, valid_from, TIMESTAMP '1970-01-01') AS bin, changed_by, count(DISTINCT user_id) AS rows, count(*) AS versions FROM ver GROUP BY 1, 2"),
     "table_stats": (lambda s, d: C.table_stats(*V.split(account(s, d))), "SELECT (SELECT count(*) FROM base) AS base_rows, (SELECT count(*) FROM hist) AS history_rows, count(*) AS version_rows, min(valid_from) AS oldest, max(valid_from) AS newest, round(count(*) / (SELECT count(*) FROM base), 2) AS avg_versions FROM ver"),
     "prune": (lambda s, d: M.prune(V.split(account(s, d))[1], at(THEN)), f"SELECT * FROM hist WHERE valid_to >= TIMESTAMP '{THEN}'"),
+    "drop_history_before": (lambda s, d: M.drop_before(V.split(account(s, d))[1], at(THEN), F.date_trunc("DAY", V.TO)), f"SELECT * FROM hist WHERE valid_to >= TIMESTAMP '{THEN}'"),
     "prune_count": (lambda s, d: V.split(account(s, d))[1].agg(F.count_if(F.col(V.TO) < at(THEN)).alias("pruned")), f"SELECT count(*) AS pruned FROM hist WHERE valid_to < TIMESTAMP '{THEN}'"),
     "compact_history": (
         lambda s, d: M.compact(_compact_source(s, d), KEY, ["user_id", "event_type"]),
@@ -291,7 +299,7 @@ MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _text_query(t if isinstance(t, str) else t[0]) for n, t in TEXTS.items()}
 QUERIES |= {n: f for n, (f, _) in MORE.items()}
 QUERIES["combine_replay"] = lambda s, d: combined(s, d)
-QUERIES["excluded_only"] = lambda s, d: replay.by_lead(event_log(s, d).withColumn("props", F.lit("changes alone are invisible")), KEY, VALUES, "ts", "who", "gone")
+QUERIES["excluded_only"] = lambda s, d: replay.by_lead(props_log(s, d), KEY, VALUES, "ts", "who", "gone", ["props"]).drop("props")
 
 ORACLE_SQL: dict[str, str] = {n: _oracle(t if isinstance(t, str) else t[1]) for n, t in TEXTS.items()}
 ORACLE_SQL |= {n: _oracle(t) for n, (_, t) in MORE.items()}

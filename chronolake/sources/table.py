@@ -322,13 +322,12 @@ class TemporalTable:
         return n
 
     def drop_history_before(self, cutoff: datetime) -> int:
-        """Drop whole segments that ended by cutoff, then prune; returns the pruned rows only."""
+        """Drop whole segments that ended before cutoff, then prune; returns the pruned rows only."""
         self.session.reject_as_of("drop_history_before")
         state = self.state
         kept = []
         for p in state["closed"]:
-            end = self.session.store.load([p], self.history_schema).agg(F.max(V.TO)).head()[0]
-            if end is not None and end > cutoff:
+            if not self.session.store.load([p], self.history_schema).filter(F.col(V.TO) >= F.lit(cutoff)).isEmpty():
                 kept.append(p)
         self.session.change(self.name, base=state["base"], tail=state["tail"], closed=kept, newest_end=state["newest_end"])
         return self.prune(cutoff)

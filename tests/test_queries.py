@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from chronolake import queries
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["asof_join", "asof_full_join", "changes_all", "compact_history", "combine_replay", "column_history", "same_tx_collapse", "heatmap_bin", "asof_rollup", "asof_recursive"]
@@ -39,3 +40,20 @@ def test_left_join_and_recursion_cover_the_whole_table(spark):
     users = {r.user_id for r in entry.queries()["asof_scan"](spark, table).select("user_id").collect()}
     hops = [(r.user_id, r.depth) for r in entry.queries()["asof_recursive"](spark, table).collect()]
     assert sorted(hops) == sorted((u + 7 * k, k) for u in users for k in range(7) if u + 7 * k in users)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_updates_of_excluded_columns_make_no_version(spark):
+    log = queries.props_log(spark, SF)
+    events, left = spark.read.parquet(f"{SF}/events.parquet"), queries.event_log(spark, SF).filter("not gone")
+    assert log.count() == events.count() + left.count()
+    found = queries.replay.by_lead(log, queries.KEY, queries.VALUES, "ts", "who", "gone", ["props"]).collect()
+    assert len(found) == left.count() and all(r.props.startswith("later than ") and r.changed_by != "props" for r in found)
+    # without the rule for excluded columns each such update is a version of its own
+    assert queries.replay.by_lead(log, queries.KEY, [*queries.VALUES, "props"], "ts", "who", "gone").count() == 2 * left.count()
+    test_query_equals_its_sql(spark, "excluded_only")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_drop_history_before(spark):
+    test_query_equals_its_sql(spark, "drop_history_before")

@@ -264,3 +264,16 @@ def test_lineage(session, clock):
     found = t.changes(pk={"id": 99}).collect()
     assert [(r.operation, r.changed_columns) for r in found] == [("INSERT", None), ("UPDATE", ["id"]), ("UPDATE", ["id"])]
     assert t.versions().select("temporal_row_id").distinct().count() == 1
+
+
+def test_drop_history_before(session, clock):
+    t = items(session)
+    for k in range(4):
+        clock.move(10)
+        t.update({"name": F.lit(f"n{k}")}, F.col("id") == 1)
+    assert t.history().count() == 4
+    ends = lambda: [int((r[0] - T0.replace(tzinfo=None)).total_seconds()) for r in rows(t.history(), "valid_to")]
+    t.drop_history_before(T0 + timedelta(seconds=20))  # the version that ends at the cutoff stays
+    assert ends() == [20, 30, 40] and t.current().count() == 1
+    t.drop_history_before(T0 + timedelta(seconds=41))
+    assert ends() == [] and rows(t.current(), "name") == [("n3",)]
