@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 
 class Cache(dict):
@@ -19,10 +19,17 @@ class Cache(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-            if len(key) > self.longest:
-                return value
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(key) > self.longest:
+            return
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
+
+    def unknown(self, keys: Iterable) -> list:
+        """Those of keys that would be kept and aren't known."""
+        return [x for x in keys if x not in self and x not in self.old and len(x) <= self.longest]

@@ -93,6 +93,7 @@ def test_bpe(docs, texts, nothing):
     assert all(decoded[i] == library.decode(want[i], skip_special_tokens=False) == (t or "") for i, t in texts)
     for r in bpe.bpe_round_trip(docs, path).collect():
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, want[r.doc_id])).encode()).hexdigest() and r.n_tokens == len(want[r.doc_id])
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(want[r.doc_id], skip_special_tokens=False).encode()).hexdigest()
     assert bpe.bpe_encode(nothing, path).count() == 0
 
 
@@ -100,12 +101,53 @@ def test_bpe_on_random_bytes():
     path = public_tokenizers.path("byte_bpe_50k.json")
     library, own = Tokenizer.from_file(path), bpe.automaton(path)
     random.seed(5)
-    pool = ["a", "the", " ", "  ", "\n", "'s", "é", "中", "😀", "12", "...", "A", "aa", "\x1c", "̈", "　"]
-    for n in range(400):
+    odd = ["a", "the", " ", "  ", "\n", "'s", "é", "中", "😀", "12", "...", "A", "aa", "\x1c", "̈", "　", "'", "'ll", "tion", "\xa0", "²", "<|endoftext|>"]
+    for n in range(1200):
+        pool = odd if n % 3 else [chr(x) for x in range(0x250)]
         text = "".join(random.choice(pool) for _ in range(random.randint(0, 50))) + "-" * (n % 40)
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_by_table_and_by_one_long_word():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), bpe.automaton(path)
+    random.seed(8)
+    words = ["".join(random.choice("abeinorst") for _ in range(random.randint(1, 16))) for _ in range(3000)]
+    want = [library.encode(x, add_special_tokens=False).ids for x in words]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.paths([x.encode() for x in words])] == want
+    assert [own.path(x.encode()) for x in words] == want
+    long = "".join(words)
+    assert own.path(long.encode()) == library.encode(long, add_special_tokens=False).ids
+
+
+def test_bpe_gadgets_against_merges_by_rank():
+    """Compiled arcs of random small vocabularies against merging the leftmost pair of the least rank."""
+    for seed in range(30):
+        random.seed(seed)
+        tokens, merges = ["a", "b", "c"], []
+        while len(merges) < 14:
+            u, v = random.choice(tokens), random.choice(tokens)
+            if u + v not in tokens and len(u + v) < 9:
+                merges.append((u, v))
+                tokens.append(u + v)
+        ids = {x: k for k, x in enumerate(tokens)}
+        own = bpe.TokenAutomaton.__new__(bpe.TokenAutomaton)
+        own.labels = [x.encode() for x in tokens]
+        own.compile([0, 1, 2], [(ids[u], ids[v], ids[u + v]) for u, v in merges])
+        own.grow_tree()
+        own.lengths, own.sizes = list(map(len, tokens)), np.array(list(map(len, tokens)), np.int32)
+        words = ["".join(random.choice("abc") for _ in range(random.randint(1, 12))) for _ in range(200)]
+        for word, got in zip(words, own.paths([x.encode() for x in words]), strict=True):
+            parts = list(word)
+            for u, v in merges:
+                k = 0
+                while k < len(parts) - 1:
+                    if (parts[k], parts[k + 1]) == (u, v):
+                        parts[k : k + 2] = [u + v]
+                    k += 1
+            assert np.frombuffer(got, "<u4").tolist() == [ids[x] for x in parts] == own.path(word.encode())
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_files(spark, docs, texts, encoding):
     path, name = scratch.new_path(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json")
