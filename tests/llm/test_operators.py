@@ -68,19 +68,38 @@ def test_exact_dedup(docs, texts, nothing, monkeypatch):
 
 
 def test_trie_spills_by_subtree():
-    trie, plain = exact_dedup.OwnerTrie(limit=3000), {}
     random.seed(3)
     keys = [bytes(random.choice(b"ab") for _ in range(random.randint(0, 40))) for _ in range(800)]
-    got = []
+    rows, classes, rounds = [(key, k, k, 1) for k, key in enumerate(keys)], [], 0
+    while rows:
+        trie, again = exact_dedup.OwnerTrie(limit=30_000), []
+        for key, *value in rows:
+            name, elsewhere = trie.insert(key, *value)
+            assert name == hashlib.sha256(key).hexdigest()
+            again += elsewhere
+        classes += trie.classes()
+        assert rounds or trie.spilled
+        rows, rounds = again, rounds + 1
+    want = {}
     for k, key in enumerate(keys):
-        name = trie.name(key, k)
-        if name is not None:
-            got.append((k, name))
-    assert trie.spilled
-    got += [(k, name) for name, k in trie.rest()]
-    for k, key in enumerate(keys):
-        plain[k] = hashlib.sha256(key).hexdigest()
-    assert dict(got) == plain and len(got) == len(keys)
+        want.setdefault(hashlib.sha256(key).hexdigest(), []).append(k)
+    assert rounds > 2 and len(classes) == len(want)
+    assert {(n, a, b, c) for n, a, b, c in classes} == {(n, min(x), max(x), len(x)) for n, x in want.items()}
+
+
+def test_trie_counts_whole_keys():
+    trie = exact_dedup.PatriciaTrie()
+    for k in range(50):
+        trie.terminal(b"x" * 1000 + str(k).encode())
+    assert trie.root.held >= 50 * 1000
+    before = trie.root.held
+    prefix, node = trie.cut()
+    assert prefix.startswith(b"x" * 1000) and trie.root.held == before - node.held
+
+
+def test_exact_dedup_in_rounds(docs, texts):
+    plain = sorted(map(str, exact_dedup.exact_dedup(docs).collect()))
+    assert sorted(map(str, exact_dedup.exact_dedup(docs, trie_bytes=20_000).collect())) == plain
 
 
 def test_bpe(docs, texts, nothing):
