@@ -3,21 +3,26 @@
 Words, runs of signs and pairs of neighbours are hashed to ``BUCKETS`` buckets.  Two
 generative models are counted: of the target texts (labelled good, at most
 ``TARGET_ROWS`` of them) and of the raw texts (all rows).  The importance weight of a
-document is the ratio of its likelihoods; so that long texts don't outweigh all others,
-each is taken to have ``LENGTH`` n-grams (its mean log ratio times that).  Documents are
-drawn without replacement in proportion to their weight by Gumbel top-k: noise that
-depends on the id, the text and the seed alone is added to the log weight, and the k
-largest sums stay.  By default k is the number of documents that weigh at least as much
-as all but ``LOST`` of the good documents that were held back from the target model.
+document is the ratio of its likelihoods under them; so that long texts don't outweigh
+all others, it is the ratio for ``LENGTH`` n-grams drawn from the document (its mean log
+ratio times that).  Documents are drawn without replacement in proportion to their
+weight by Gumbel top-k: noise that depends on the id, the text and the seed alone is
+added to the log weight, and the k largest sums stay.  By default k is the target's size
+in the raw texts: the number of rows that weigh at least as much as all but ``LOST`` of
+the good rows that were held back from the target model, and ``SLACK`` more.
 
 The k-th largest sum is found by counts over ever narrower bins, never by a global sort.
 Null and empty texts have weight 1 (log weight 0).  Rows whose sums tie with the k-th
-all stay; rows that agree in id and text tie.  Null ids take part.  Without any target
-row every weight is 1 and all rows stay.
+all stay; rows that agree in id and text tie.  Null ids take part; an id that is labelled
+more than once is good if any of its labels is.  Without any target row every weight is
+1 and all rows stay.
+Texts count as a whole, whatever their length.  Other columns are ignored, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,9 +36,10 @@ from .scratch import materialize
 BUCKETS = 1 << 16
 TARGET_ROWS = 20_000
 PRIOR = 100  # n-grams that a bucket is taken to have on both sides besides those seen
-LENGTH = 1000
+LENGTH = 100
 HELD_BACK = 5  # of the good rows, one in so many
 LOST = 0.002
+SLACK = 0.005
 BINS = 1024
 LAST_BIN = 10_000
 
@@ -107,7 +113,7 @@ def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None
         # of at most TARGET_ROWS rows with distinct ids
         probes = [x[0] for x in keys.filter("probe").groupBy("doc_id").agg(F.min("log_weight")).select("min(log_weight)").collect()]
         least = float(np.quantile(probes, LOST)) if probes else float("-inf")
-        k = keys.filter(F.col("log_weight") >= least).count()
+        k = math.ceil(keys.filter(F.col("log_weight") >= least).count() * (1 + SLACK))
     n = keys.count()
     keys = keys.drop("probe")
     if k <= 0 or n == 0:
