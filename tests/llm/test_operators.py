@@ -333,6 +333,41 @@ def test_quality(spark, words):
     assert quality.drop_poor(docs, labels).columns == docs.columns
 
 
+def test_quality_weights_and_draws_against_brute_force(spark, words):
+    random.seed(21)
+    # from all good words to none
+    rows = [(k, " ".join(random.choice(words[:150] if random.random() * 400 > k else words[150:]) for _ in range(60))) for k in range(400)]
+    rows += [(400, None), (401, ""), (None, rows[0][1]), (7, rows[7][1]), (402, " ".join(words) * 100)]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id bigint, text string, key int, th string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k < 100)) for k in range(0, 400, 2)] + [(2, 0), (9999, 1), (3, None)], "doc_id bigint, quality int")
+    got = quality.importance_resample(docs, labels).collect()
+    # the models, counted by plain loops
+    good = {k for k in range(0, 100, 2)}
+    held = {r.doc_id for r in spark.range(100).select(F.col("id").alias("doc_id")).filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(quality.HELD_BACK)) == 0).collect()}
+    raw, target = [0] * quality.BUCKETS, [0] * quality.BUCKETS
+    grams = lambda t: quality.ngram_buckets(t, quality.BUCKETS).tolist()
+    for i, t in rows:
+        for x in grams(t):
+            raw[x] += 1
+            target[x] += i in good and i not in held
+    share = sum(target) / sum(raw)
+    def weight(t):
+        found = grams(t)
+        ratios = [np.log((target[x] + quality.PRIOR) / (raw[x] * share + quality.PRIOR)) for x in found]
+        return quality.LENGTH * sum(ratios) / len(found) if found else 0.0
+    want = sorted(weight(t) for _, t in rows)
+    assert np.allclose(sorted(r.log_weight for r in got), want) and len(got) == len(rows)
+    # k: as many rows as weigh no less than the least of the good ones that were held back, and 1 % more
+    kept = {(r.doc_id, r.th) for r in got if r.kept}
+    probes = [r.log_weight for r in got if r.doc_id in good & held]
+    assert sum(r.kept for r in got) == int(np.ceil(sum(r.log_weight >= np.quantile(probes, quality.LOST) for r in got) * (1 + quality.SLACK)))
+    assert min(r.key for r in got if r.kept) > max(r.key for r in got if not r.kept)
+    # another seed draws others, and those of more weight more often
+    other = {(r.doc_id, r.th) for r in quality.importance_resample(docs, labels, seed=18).collect() if r.kept}
+    assert kept != other
+    assert np.mean([r.log_weight for r in got if r.kept]) > np.mean([r.log_weight for r in got if not r.kept])
+
+
 def test_kth_largest_with_ties(spark):
     keys = spark.createDataFrame([(float(x // 3),) for x in range(300)], "key double")
     for k in (1, 2, 150, 300):
@@ -341,7 +376,7 @@ def test_kth_largest_with_ties(spark):
 
 def test_counterfactual_penalty():
     own = [toxicity.features({"women", "awful", f"w{k}"}) for k in range(20)] + [toxicity.features({"nice", "day", f"v{k}"}) for k in range(20)]
-    other = [toxicity.features(toxicity.swapped({"women", "awful", f"w{k}"}, toxicity.IDENTITY_TERMS)) for k in range(20)] + [None] * 20
+    other = [toxicity.features(toxicity.swapped({"women", "awful", f"w{k}"}, toxicity.swaps(toxicity.IDENTITY_TERMS))) for k in range(20)] + [None] * 20
     labels = np.array([1.0] * 20 + [0.0] * 20)
     z = lambda fitted, words: fitted[0][toxicity.features(words)].sum() + fitted[1]
     plain, fair = toxicity.fit(labels, own, [None] * 40), toxicity.fit(labels, own, other, counterfactual=5.0)
@@ -364,6 +399,56 @@ def test_toxicity(spark, words):
     assert toxicity.score_toxicity(docs.limit(0), labels, ~held, held).count() == 0
 
 
+def test_counterfactual_penalty_against_brute_force(spark, words):
+    random.seed(17)
+    neutral, bad = ["north", "south", "east4", "west4"], ["scum", "trash"]
+    rows = []
+    for k in range(400):
+        toxic = k % 4 == 0
+        # toxic texts name the north more often
+        place = random.choice(["north"] * 6 + neutral) if toxic else random.choice(neutral)
+        rows.append((k, " ".join([*random.choices(words, k=12), place, *[random.choice(bad)] * (toxic and k % 8 == 0)]), int(toxic)))
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id bigint, label int")
+    y, own, other, terms = toxicity.learn(docs, labels, [tuple(neutral)])
+    assert len(y) == 400 and sum(x is not None for x in other) == 400 and terms[0] == tuple(neutral) and len(terms) > 1
+    # twins by hand
+    swap = toxicity.swaps(terms)
+    for k in (0, 1, 8, 399):
+        have = set(rows[k][1].split())
+        assert toxicity.swapped(have, swap) == {swap.get(x, x) for x in have}
+    free, free_bias = toxicity.fit(y, own, other, counterfactual=0.0)
+    held, held_bias = toxicity.fit(y, own, other)
+    before, after = toxicity.swap_change(free, own, other), toxicity.swap_change(held, own, other)
+    assert before[0] == after[0] == 400 and after[1] < 0.5 * before[1]
+
+    def loss(w, b):
+        total = 0.0
+        for label, x, twin in zip(y, own, other):
+            z = sum(w[k] for k in x) + b
+            total += (np.log1p(np.exp(-z)) if label else np.log1p(np.exp(z))) / len(y)
+            total += toxicity.COUNTERFACTUAL * (sum(w[k] for k in x) - sum(w[k] for k in twin)) ** 2 / len(y)
+        return total + toxicity.L1 * np.abs(w).sum()
+
+    least = loss(held, held_bias)
+    assert least < loss(free, free_bias) and least < loss(np.zeros(toxicity.BUCKETS), 0.0)
+    places = np.flatnonzero(held)
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        near = held.copy()
+        near[places] += rng.normal(0, 0.05, len(places))
+        assert least < loss(near, held_bias + rng.normal(0, 0.05))
+
+
+def test_toxicity_of_awkward_rows(spark):
+    rows = [(1, "scum " * 3 + "of the place", 1), (2, "words of the place", 2), (3, None, 3), (None, "", 4), (2, "words of the place", 5), (4, "far " * 300_000, 6), (4, "near", 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (4, 0), (9, 1), (None, 1), (3, None)], "doc_id bigint, toxic int")
+    got = toxicity.score_toxicity(docs, labels, F.lit(True), F.lit(False)).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows) and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id == 2}) == 1
+
+
 def test_language(spark):
     random.seed(17)
     kinds = {"aa": ["the", "and", "thing", "shore"], "bb": ["der", "und", "schön", "ganz"], "cc": ["que", "los", "niño", "para"]}
