@@ -6,21 +6,28 @@ of ``GRAM`` bytes, so equal strings have their anchor at the same place, and a s
 is known by its anchor's suffix and the bytes before it.  An anchor owns the run of
 string starts of which it is the anchor.
 
-1. Anchors are found in each task, with their leading bytes, the hash of their gram and
-   a hash of all bytes that their own strings cover.  Of anchors that agree in all of it
-   the task sends the first only; the strings of the others are repeats already.
-2. Sampled splitters, quantiles of the leading bytes on a sample of documents, deal the
-   suffixes to range buckets.  A bucket sorts by multikey quicksort on eight-byte
-   characters.  Splitters never part equal leading bytes, so what would be compared
-   across a boundary differs there in its first character.
+1. Anchors are found in each task, with the ``GRAM`` bytes that follow, as eight-byte
+   characters, and a hash of all bytes that their own strings cover.  Of anchors that
+   agree in all of it the task sends the first only; the strings of the others are
+   repeats already.
+2. Sampled splitters of ``GRAM`` bytes, weighted quantiles of a bounded sample of
+   anchors, deal the suffixes to range buckets of about ``BUCKET_BYTES`` of text.  A
+   bucket sorts by multikey quicksort on eight-byte characters: runs of equals are sorted
+   by their next character.  Splitters never part suffixes that agree in all characters,
+   so what would be compared across a boundary differs there before its end.
 3. Of neighbours with equal own bytes all but the first are repeats.  Anchors with the
-   same gram and other surroundings send their own bytes to a second range exchange,
+   same characters and other surroundings send their own bytes to a second exchange,
    where their strings are compared one by one; a group too large for one task is dealt
    by string instead.
 4. Repeated starts are merged for each document, and the bytes under them removed.
 
+Suffixes that agree in ``GRAM`` bytes are in no order of their further bytes: they are
+told apart by the hash of their own bytes (64 bits), and strings by 128-bit hashes.
+
 Nulls count as empty texts.  Order is by id (null first), then by a hash of the text;
-rows that agree in both are one document and get the same result.
+rows that agree in both are one document and get the same result.  Texts count as a
+whole, whatever their length (a task holds one text at a time).  Other columns are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,12 +42,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize, numeric_partitions
+from .scratch import materialize
 from .shingles import mix
 
 GRAM = 32
+CHARACTERS = GRAM // 8
 BATCH_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
+MOST_BUCKETS = 20_000
 SAMPLE_DOCS = 2000
+SAMPLE_ANCHORS = 64  # of each sampled document
 LARGE_NODE = 5000
 NULL_ID = -(1 << 63)
 _W = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -57,11 +68,11 @@ def eights(text: np.ndarray) -> np.ndarray:
 
 
 def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """at, first, last, lead, gram of the anchors of a text of at least length bytes: position, own string starts (inclusive), leading bytes, hash of the gram."""
+    """at, first, last and the characters of the anchors of a text of at least length bytes: position, own string starts (inclusive), GRAM bytes by eight."""
     lead = eights(text)
     m = len(text) - GRAM + 1
     gram = lead[:m] * _W[0]
-    for k in range(1, GRAM // 8):
+    for k in range(1, CHARACTERS):
         gram = mix(gram ^ (lead[8 * k : m + 8 * k] * _W[k]))
     # the least hash in each window of grams, leftmost of equals, by doubling
     best = ((gram >> np.uint64(32)) << np.uint64(32)) | np.arange(m, dtype=np.uint64)
@@ -75,7 +86,7 @@ def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
     last = np.concatenate([first[1:] - 1, [len(of) - 1]])
     at = of[first]
-    return at, first, last, lead[at], gram[at]
+    return at, first, last, *(lead[at + 8 * k] for k in range(CHARACTERS))
 
 
 def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
@@ -100,26 +111,31 @@ def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
 
 
 #: What is sent of an anchor; documents are numbered within a block.
-FIELDS = [("lead", np.uint64), ("gram", np.uint32), ("own", np.uint64), ("at", np.uint32), ("number", np.uint32), ("back", np.uint8), ("front", np.uint8)]
-WIDTH = sum(np.dtype(t).itemsize for _, t in FIELDS)
+FIELDS = [*((f"c{k}", np.uint64) for k in range(CHARACTERS)), ("own", np.uint64), ("at", np.uint32), ("number", np.uint32), ("back", np.uint16), ("front", np.uint16)]
 
 
-def packed(lead: np.ndarray, gram: np.ndarray, own: np.ndarray, doc: np.ndarray, th: np.ndarray, at: np.ndarray, back: np.ndarray, front: np.ndarray) -> bytes:
+def packed(columns: tuple[np.ndarray, ...]) -> bytes:
+    """A block of the characters, own, doc, th, at, back, front of some anchors."""
+    *characters, own, doc, th, at, back, front = columns
     both, number = np.unique(np.stack([doc, th], axis=1), axis=0, return_inverse=True)
-    columns = (lead, gram, own, at, number.ravel(), back, front)
-    body = b"".join(np.ascontiguousarray(c.astype(t)).tobytes() for c, (_, t) in zip(columns, FIELDS))
-    return zstandard.ZstdCompressor(level=1).compress(len(lead).to_bytes(8, "little") + body + both.tobytes())
+    body = b"".join(np.ascontiguousarray(c.astype(t)).tobytes() for c, (_, t) in zip((*characters, own, at, number.ravel(), back, front), FIELDS))
+    return zstandard.ZstdCompressor(level=1).compress(len(own).to_bytes(8, "little") + body + both.tobytes())
 
 
 def unpacked(block: bytes) -> tuple[np.ndarray, ...]:
-    """lead, gram, own, doc, th, at, back, front."""
+    """What packed() was given."""
     body = zstandard.ZstdDecompressor().decompress(block)
     n, at, out = int.from_bytes(body[:8], "little"), 8, {}
     for name, t in FIELDS:
         out[name] = np.frombuffer(body, t, n, at)
         at += n * np.dtype(t).itemsize
     doc, th = np.frombuffer(body, np.int64, -1, at).reshape(-1, 2)[out["number"]].T
-    return out["lead"], out["gram"], out["own"], doc, th, *(out[x].astype(np.int64) for x in ("at", "back", "front"))
+    return *(out[f"c{k}"] for k in range(CHARACTERS)), out["own"], doc, th, *(out[x].astype(np.int64) for x in ("at", "back", "front"))
+
+
+def as_bytes(characters: list[np.ndarray]) -> np.ndarray:
+    """The characters of each row as one string of GRAM bytes, in their order."""
+    return np.ascontiguousarray(np.stack(characters, axis=1).astype(">u8")).view(f"S{GRAM}").ravel()
 
 
 def unsigned(x: np.ndarray) -> np.ndarray:
@@ -145,16 +161,16 @@ def runs_of(keys: list[np.ndarray]) -> np.ndarray:
 
 def sorted_once(columns: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
     """The suffixes in order, with each (doc, th, at) once: rows that are one document don't repeat each other."""
-    lead, gram, own, doc, th, at, back, front = columns
-    order = multikey_order([lead, gram, own, unsigned(doc), unsigned(th), at])
+    *characters, own, doc, th, at, _, _ = columns
+    order = multikey_order([*characters, own, unsigned(doc), unsigned(th), at])
     columns = tuple(x[order] for x in columns)
-    return tuple(x[runs_of([columns[k] for k in (0, 1, 2, 3, 4, 5)])] for x in columns)
+    return tuple(x[runs_of(list(columns[:-2]))] for x in columns)
 
 
-def find_anchors(length: int, splitters: list[int]) -> Callable:
+def find_anchors(length: int, splitters: list[bytes]) -> Callable:
     """doc, th, text -> bucket with a block of anchors, or with doc, th and starts that are repeats within the task's batch."""
     names = ["bucket", "block", "doc", "th", "starts"]
-    ends = np.array(splitters, np.uint64)
+    ends = np.array(splitters, f"S{GRAM}")
 
     def flush(docs: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
         parts = []
@@ -162,24 +178,24 @@ def find_anchors(length: int, splitters: list[int]) -> Callable:
         for doc, th, text in docs:
             if len(text) < length:
                 continue
-            at, first, last, lead, gram = anchors(np.frombuffer(text, np.uint8), length)
+            at, first, last, *characters = anchors(np.frombuffer(text, np.uint8), length)
             view, n = memoryview(text), len(at)
             own = np.fromiter((digest(view[a : b + length]) for a, b in zip(first.tolist(), last.tolist())), np.uint64, n)
             back, front = at - first, at - last
             # the anchor's place in its own bytes belongs to their identity
-            own ^= mix((back * 256 + front).astype(np.uint64))
-            parts.append((lead, (gram & np.uint64(0xFFFFFFFF)).astype(np.uint32), own, np.full(n, doc), np.full(n, th), at, back, front))
+            own ^= mix((back * 65536 + front).astype(np.uint64))
+            parts.append((*characters, own, np.full(n, doc), np.full(n, th), at, back, front))
         if not parts:
             return
         columns = sorted_once(tuple(np.concatenate(x) for x in zip(*parts)))
-        lead, gram, own, doc, th, at, back, front = columns
-        fresh = runs_of([lead, gram, own])
+        *_, doc, th, at, back, front = columns
+        fresh = runs_of(list(columns[: CHARACTERS + 1]))
         again = ~fresh
         rows = [(int(d % (len(ends) + 1)), None, d, t, x) for d, t, x in starts_batches(doc[again], th[again], (at - back)[again], (at - front)[again])]
         columns = tuple(x[fresh] for x in columns)
-        buckets = np.searchsorted(ends, columns[0], side="right")
-        edges = np.flatnonzero(np.concatenate([runs_of([buckets]), [True]]))
-        rows += [(int(buckets[x]), packed(*(c[x:y] for c in columns)), None, None, None) for x, y in zip(edges, edges[1:])]
+        # where each bucket begins among the sorted suffixes
+        edges = [0, *np.searchsorted(as_bytes(list(columns[:CHARACTERS])), ends).tolist(), len(columns[0])]
+        rows += [(k, packed(tuple(c[x:y] for c in columns)), None, None, None) for k, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
         kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
         for k in range(0, len(rows), 5000):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 5000]), kinds)], names)
@@ -209,15 +225,19 @@ def sort_bucket(most: int = LARGE_NODE) -> Callable:
     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
 
     def bucket(blocks: list[bytes]) -> Iterator[tuple]:
-        lead, gram, own, doc, th, at, back, front = sorted_once(tuple(np.concatenate(x) for x in zip(*map(unpacked, blocks))))
-        new_gram, new_own = runs_of([lead, gram]), runs_of([lead, gram, own])
+        columns = sorted_once(tuple(np.concatenate(x) for x in zip(*map(unpacked, blocks))))
+        *_, doc, th, at, back, front = columns
+        new_gram, new_own = runs_of(list(columns[:CHARACTERS])), runs_of(list(columns[: CHARACTERS + 1]))
         for row in starts_batches(doc[~new_own], th[~new_own], (at - back)[~new_own], (at - front)[~new_own]):
             yield REPEAT, *row
         group = np.cumsum(new_gram) - 1
         classes = np.bincount(group, weights=new_own)[group]
         for kind, ask in ((ASK, new_own & (classes > 1) & (classes <= most)), (ASK_LARGE, new_own & (classes > most))):
             if ask.any():
-                node = mix(lead[ask] * _W[2] + gram[ask]).view(np.int64)
+                node = np.zeros(int(ask.sum()), np.uint64)
+                for c, w in zip(columns[:CHARACTERS], _W):
+                    node = mix(node * w + c[ask])
+                node = node.view(np.int64)
                 columns = [node, doc[ask], th[ask], at[ask], back[ask], front[ask]]
                 o = np.lexsort((columns[3], columns[2], columns[1]))
                 node, d, t, x, y, z = (c[o] for c in columns)
@@ -366,34 +386,46 @@ def remove(length: int) -> Callable:
     return run
 
 
-def sample_leads(length: int) -> Callable:
+def sample_anchors(length: int) -> Callable:
+    """text -> some of its anchors' bytes, and how many anchors each stands for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if len(text) >= length:
-                    # the sign bit is turned so that signed order is the order of the bytes
-                    lead = anchors(np.frombuffer(text, np.uint8), length)[3] ^ np.uint64(1 << 63)
-                    yield pa.RecordBatch.from_arrays([pa.array(lead.view(np.int64))], ["lead"])
+                    _, _, _, *characters = anchors(np.frombuffer(text, np.uint8), length)
+                    n = len(characters[0])
+                    some = np.unique(np.linspace(0, n - 1, min(n, SAMPLE_ANCHORS)).astype(np.int64))
+                    found = np.stack([c[some] for c in characters], axis=1).astype(">u8")
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in found], pa.binary()), pa.array(np.full(len(some), n / len(some)))], ["gram", "weight"])
 
     return run
 
 
+def splitters_of(sample: list[tuple[bytes, float]], n: int) -> list[bytes]:
+    """At most n - 1 splitters that part the sample's weight evenly."""
+    sample = sorted(sample)
+    passed = np.cumsum([w for _, w in sample])
+    spots = np.searchsorted(passed, passed[-1] * np.arange(1, n) / n) if sample else []
+    return sorted({sample[k][0] for k in spots})
+
+
 def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (begin, end, begin, end ... in bytes) of each row."""
-    spark = docs.sparkSession
+    if not GRAM <= length < 1 << 16:
+        raise ValueError(f"length must be from {GRAM} to 65535")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
 
     # splitters from a bounded sample of documents; results don't depend on them
-    n = buckets or max(8, numeric_partitions(spark))
+    held = rows.agg(F.sum(F.length("text"))).head()[0] or 0
+    n = buckets or max(8, min(MOST_BUCKETS, -(-held // BUCKET_BYTES)))
     sample = rows.filter(F.pmod(F.xxhash64("th", F.lit(11)), F.lit(64)) == 0).select("text").limit(SAMPLE_DOCS)
-    leads = sample.mapInArrow(sample_leads(length), "lead bigint")
-    marks = leads.approxQuantile("lead", [k / n for k in range(1, n)], 0.2 / n)
-    splitters = sorted({min(int(x) + (1 << 63), (1 << 64) - 1) for x in marks})
+    splitters = splitters_of([tuple(x) for x in sample.mapInArrow(sample_anchors(length), "gram binary, weight double").collect()], n)
 
     starts = "doc bigint, th bigint, starts binary"
     dealt = rows.select("doc", "th", "text").mapInArrow(find_anchors(length, splitters), f"bucket int, block binary, {starts}")
-    judged = materialize(dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(sort_bucket(), f"kind int, {starts}"), "judged")
+    judged = materialize(dealt.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(sort_bucket(), f"kind int, {starts}"), "judged")
 
     key = ["doc", "th"]
     texts = rows.select("doc", "th", "text").mapInArrow(pack, "doc bigint, th bigint, text binary")

@@ -232,26 +232,44 @@ def test_components(spark):
     assert got == {x: find(x) for a, b in links if a != b for x in (a, b)} | {k: v for k, v in got.items() if k not in parent}
 
 
-@pytest.mark.parametrize("large", [5000, 1])
-def test_suffix_dedup(spark, docs, texts, nothing, monkeypatch, large):
+@pytest.mark.parametrize(("large", "length"), [(5000, 100), (1, 100), (5000, 400), (1, 40)])
+def test_suffix_dedup(spark, docs, texts, nothing, monkeypatch, large, length):
     monkeypatch.setattr(suffix_dedup.sort_bucket, "__defaults__", (large,))
     got = {}
-    for r in suffix_dedup.repeated_spans(docs, 100, buckets=3).collect():
+    for r in suffix_dedup.repeated_spans(docs, length, buckets=3).collect():
         got.setdefault(r.doc_id, []).append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
     seen = set()
     for i, t in sorted({x for x in texts}, key=lambda x: -1 if x[0] is None else x[0]):
         b = (t or "").encode()
         cut, at = bytearray(len(b)), {}
-        for k in range(len(b) - 99):
-            if b[k : k + 100] in seen:
-                cut[k : k + 100] = b"\1" * 100
+        for k in range(len(b) - length + 1):
+            if b[k : k + length] in seen:
+                cut[k : k + length] = b"\1" * length
             else:
-                seen.add(b[k : k + 100])
+                seen.add(b[k : k + length])
         spans = sum(1 for k in range(len(b)) if cut[k] and not (k and cut[k - 1]))
         want = (len(b), sum(cut), spans, hashlib.sha256(bytes(c for c, x in zip(b, cut) if not x)).hexdigest())
         assert set(got[i]) == {want}, i
-    if large == 1:
-        assert suffix_dedup.repeated_spans(nothing, 100, buckets=3).count() == 0
+    if large == 1 and length == 100:
+        assert suffix_dedup.repeated_spans(nothing, 100).count() == 0
+        with pytest.raises(ValueError):
+            suffix_dedup.repeated_spans(docs, 20)
+
+
+def test_suffixes_are_in_order_of_their_bytes():
+    random.seed(4)
+    text = "".join(random.choice("ab") for _ in range(4000)).encode() * 3
+    at, first, last, *characters = suffix_dedup.anchors(np.frombuffer(text, np.uint8), 60)
+    none = np.zeros(len(at), np.int64)
+    columns = suffix_dedup.sorted_once((*characters, none.astype(np.uint64), none, none, at, at - first, at - last))
+    place = columns[suffix_dedup.CHARACTERS + 3].tolist()
+    grams = [text[k : k + suffix_dedup.GRAM] for k in place]
+    assert grams == sorted(grams) and sorted(place) == at.tolist() and len(set(grams)) < len(grams)
+    assert suffix_dedup.as_bytes(list(columns[: suffix_dedup.CHARACTERS])).tolist() == grams
+    again = suffix_dedup.unpacked(suffix_dedup.packed(columns))
+    assert all((x == y).all() for x, y in zip(again, columns, strict=True))
+    marks = suffix_dedup.splitters_of([(x, 1.0) for x in grams], 5)
+    assert len(marks) == 4 and marks == sorted(marks)
 
 
 def test_warc(spark):
