@@ -1,5 +1,6 @@
 """Each operator against brute force on a small table with the awkward cases."""
 
+import gzip
 import hashlib
 import random
 import zlib
@@ -287,11 +288,31 @@ def test_warc(spark):
         assert (r.record_type, r.refers_to) == (("revisit", 8) if again else ("response", None))
     keys = [(r.url_key, r.captured_at) for r in index]
     assert keys == sorted(keys)
+    # a record is read by its offset and length alone, and the archive as one stream
+    for r in index:
+        with open(r.archive.removeprefix("file:"), "rb") as file:
+            file.seek(r.offset)
+            one = gzip.decompress(file.read(r.length))
+            file.seek(0)
+            whole = gzip.decompress(file.read())
+        head, _ = warc.parsed(one)
+        assert warc.page_of(head["WARC-Record-ID"]) == r.page_id and one in whole and whole.count(b"WARC-Record-ID") <= 2
     empty = scratch.new_path(spark, "warc")
     warc.write_warc(warc.classify(df.limit(0)), empty)
     assert warc.capture_index(spark, empty).count() == 0
 
 
+def test_warc_of_large_pages_ties_and_other_columns(spark):
+    large = "a page of many words " * 2_500_000
+    pages = [(1, "http://a.com/", large, 1, "x"), (2, "http://a.com/", large, 2, "y"), (3, "http://a.com/x", "z", 3, "z"), (3, "http://a.com/x", "z", 3, "z"), (3, "http://a.com/x", "other", 3, "z")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string, offset int, owner string")
+    path = scratch.new_path(spark, "warc")
+    warc.write_warc(warc.classify(df), path, archive_bytes=1000)
+    index = warc.capture_index(spark, path).collect()
+    assert [(r.page_id, r.record_type, r.refers_to) for r in index] == [(1, "revisit", 2), (2, "response", None), (3, "response", None), (3, "response", None), (3, "response", None)]
+    assert index[1].payload_bytes == len(large) > 50 << 20
+
+
 def test_loser_tree():
     random.seed(4)
     for k in (0, 1, 2, 5, 9):
