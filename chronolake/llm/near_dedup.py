@@ -3,9 +3,12 @@
 Documents with one shingle set are a class, represented by its smallest id.  In each of
 ``TREES`` independent trees a representative goes to the node of a path of ``PATH``
 minwise shingles; two sets of similarity s meet there with probability s^PATH.  A node
-of more than ``SMALL`` sets branches again by a minwise value that the node selects; a
-small one is compared exhaustively on 128-value sketches.  At similarity 0.8 a pair is
-missed by all trees with probability 0.36^12 (5e-6) where the first nodes are small.
+of more than ``SMALL`` sets branches again by minwise values that the node selects, by
+``BRANCHES`` of them down to level ``TWICE`` and by one below, so that a pair at 0.8 goes
+on together in a tree with probability 0.96 a level there (0.8 below); a small one is
+compared exhaustively on 128-value sketches.  At similarity 0.8 a pair is missed by all
+trees with probability 0.36^12 (5e-6) where the first nodes are small, and with 1e-5,
+2e-5 and 4e-5 where all of them branch at one, two and three levels.
 
 Pairs that the sketches allow are candidates.  In a dense node only links to a few hubs
 are candidates at first; large nodes link to their hub.  Candidates are confirmed on
@@ -17,7 +20,9 @@ between components is skipped, and pairs within a component are never enumerated
 
 Null and empty texts have no shingles and are linked with nothing.  A row with a null id
 is linked with nothing, has no component and is kept.  Rows of one id are one document:
-it is linked with whatever any of its texts is linked with.
+it is linked with whatever any of its texts is linked with.  Texts count as a whole,
+whatever their length.  Other columns are ignored, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,6 +44,8 @@ PATH = 2
 SKETCH = 128
 SMALL = 1024
 LEVELS = 8
+BRANCHES, TWICE = 2, 3
+SALTS = 16
 MARGIN = 4  # standard deviations of the sketch's estimate below the threshold
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 31, TREES * PATH + SKETCH, dtype=np.uint64) * 2 + 1).astype(np.uint32)[:, None]
@@ -272,6 +279,12 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
+def salted_join(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """rows, which may have any number of one key, joined with few, which has each key once."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(SALTS)).cast("int"))
+    return dealt.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"]).drop("_salt")
+
+
 def links_of(signed: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """id and comp of the representatives that have confirmed links.  docs: id, text."""
     threshold = percent / 100
@@ -299,7 +312,10 @@ def links_of(signed: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
         families.append(split if level == LEVELS else split.filter("family"))
         if level == LEVELS:
             break
-        rows = split.filter("not family").select("node", "id").join(lean, "id").select(F.xxhash64("node", F.substr("sketch", F.pmod("node", F.lit(SKETCH)).cast("int") + 1, F.lit(1))).alias("node"), "id")
+        branch = F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1 if level <= TWICE else 0)))
+        wide = split.filter("not family").select("node", "id").join(lean, "id").withColumn("branch", branch)
+        value = F.substr("sketch", F.pmod(F.col("node") + F.col("branch") * 61, F.lit(SKETCH)).cast("int") + 1, F.lit(1))
+        rows = wide.select(F.xxhash64("node", "branch", value).alias("node"), "id")
 
     nodes = small[0]
     for more in small[1:]:
@@ -328,19 +344,19 @@ def links_of(signed: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     known = again.join(comps, "id", "left").select("node", "id", F.coalesce("comp", "id").alias("comp"))
     tally = known.groupBy("node", "comp").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"))
     open_nodes = tally.filter(F.col("top.c") < F.col("all")).select("node", F.col("top.comp").alias("main"))
-    outside = materialize(known.join(open_nodes, "node").filter("comp <> main"), "outside")
+    outside = materialize(salted_join(known, open_nodes, "node").filter("comp <> main"), "outside")
     if outside.isEmpty():
         return comps
     # who asks whom: those outside ask the node's main component as a whole, once, and each other
     asks = outside.select(F.xxhash64("main", F.lit("component")).alias("g"), "id", "comp", "main").distinct()
-    mains = asks.select("g", "main").distinct()
-    whole = own.select("id").join(comps, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")).join(mains, F.col("comp") == F.col("main")).select("g", "id", "comp")
+    mains = asks.select("g", F.col("main").alias("comp")).distinct()
+    whole = salted_join(own.select("id").join(comps, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), mains, "comp").select("g", "id", "comp")
     among = outside.select(F.col("node").alias("g"), "id", "comp")
     roles = asks.select("g", "id", "comp", F.lit(1).alias("role")).unionByName(whole.withColumn("role", F.lit(0))).unionByName(among.withColumn("role", F.lit(1))).unionByName(among.withColumn("role", F.lit(0)))
     sizes = roles.groupBy("g").agg(F.ceil(F.count_if(F.col("role") == 0) / SMALL).cast("int").alias("rbs"), F.ceil(F.count_if(F.col("role") == 1) / SMALL).cast("int").alias("obs"))
     block = lambda n: F.pmod(F.xxhash64("id", F.lit(1)), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    sized = roles.join(sizes, "g")
+    sized = salted_join(roles, sizes, "g")
     asking = sized.filter("role = 1").withColumn("ob", block("obs")).withColumn("rb", all_of("rbs"))
     asked = sized.filter("role = 0").withColumn("rb", block("rbs")).withColumn("ob", all_of("obs"))
     columns = ["g", "ob", "rb", "id", "comp", "role"]

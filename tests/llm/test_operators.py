@@ -216,6 +216,31 @@ def test_near_dedup(docs, texts, nothing, monkeypatch, small):
         assert near_dedup.near_dedup(nothing).count() == 0
 
 
+@pytest.mark.parametrize("small", [1024, 16, 4])
+def test_near_dedup_recall_where_nodes_branch(spark, monkeypatch, small):
+    """Links of ids divisible by 50 (true pairs at 0.8 and little above, texts that share most of their words) against all rows."""
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    random.seed(31)
+    common = [f"c{k}" for k in range(200)]
+    rows = []
+    for k in range(0, 1000, 2):
+        text = [*common[:40], *(f"w{k}x{j}" for j in range(60)), *common[40:80]]
+        other = list(text)
+        for j in range(random.choice((5, 6, 7, 7, 7, 8))):
+            other[45 + 7 * j] = f"n{k}y{j}"
+        rows += [(k, " ".join(text)), (k + 1, " ".join(other))]
+    sets = {i: shingles.shingle_set(t, 2) for i, t in rows}
+    true = [(a, b) for a in range(0, 1000, 50) for b in sets if a != b and near_dedup.linked(sets[a], sets[b], 80)]
+    assert len(true) > 10
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), 2, 80).collect()}
+    found = sum(got[a] == got[b] for a, b in true)
+    every = [(k, k + 1) for k in range(0, 1000, 2)]
+    linked = [x for x in every if near_dedup.linked(sets[x[0]], sets[x[1]], 80)]
+    print("recall", small, found, len(true), sum(got[a] == got[b] for a, b in linked), len(linked))
+    assert found >= 0.99 * len(true) and sum(got[a] == got[b] for a, b in linked) >= 0.99 * len(linked)
+    assert all(got[a] != got[b] for a, b in every if (a, b) not in linked)
+
+
 def test_components(spark):
     random.seed(2)
     links = [(k, k + 1) for k in range(0, 60)] + [(100 + random.randrange(50), 100 + random.randrange(50)) for _ in range(60)]
