@@ -7,8 +7,8 @@ rarest, by its count in the whole corpus.  A match fixes where the window would
 starts outside the document are dropped (length and position), and the words of the
 document at that place are compared with the window's.
 
-The join is a broadcast one up to ``BROADCAST_ROWS`` windows, counted beforehand; larger
-benchmarks are joined by a shuffle of (shingle hash, document, position) first and
+The join is a broadcast one up to ``BROADCAST_ROWS`` shingles of windows that take
+``BROADCAST_BYTES`` with their items, both summed beforehand; larger benchmarks are joined by a shuffle of (shingle hash, document, position) first and
 verified after a second join with the documents.
 
 Null and empty texts have no words: no document of them is hit and no item of them has
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .scratch import materialize
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 #: What parts words, once A-Z are lower case: ASCII without digits and small letters.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,7 +68,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     sizes = sorted(x[0] for x in shingles.select("k").distinct().collect())  # 1 to shingle
     if not sizes:
         sizes = [shingle]
-    small = shingles.count() <= BROADCAST_ROWS
+    held = F.octet_length(F.array_join("win", " ")) + F.octet_length(F.array_join("items", " ")) + 32
+    size = shingles.agg(F.count("*").alias("n"), F.sum(held).alias("bytes")).head()
+    small = size.n <= BROADCAST_ROWS and (size.bytes or 0) <= BROADCAST_BYTES
     hint = F.broadcast if small else lambda x: x
 
     # rarity over the whole corpus: how often each shingle of the benchmark occurs
