@@ -238,9 +238,9 @@ def sort_bucket(most: int = LARGE_NODE) -> Callable:
                 for c, w in zip(columns[:CHARACTERS], _W):
                     node = mix(node * w + c[ask])
                 node = node.view(np.int64)
-                columns = [node, doc[ask], th[ask], at[ask], back[ask], front[ask]]
-                o = np.lexsort((columns[3], columns[2], columns[1]))
-                node, d, t, x, y, z = (c[o] for c in columns)
+                asks = [node, doc[ask], th[ask], at[ask], back[ask], front[ask]]
+                o = np.lexsort((asks[3], asks[2], asks[1]))
+                node, d, t, x, y, z = (c[o] for c in asks)
                 edges = np.flatnonzero(np.concatenate([runs_of([d, t]), [True]]))
                 body = np.stack([node, x, y, z], axis=1)
                 for a, b in zip(edges, edges[1:]):

@@ -258,7 +258,7 @@ def test_components(spark):
     assert got == {x: find(x) for a, b in links if a != b for x in (a, b)} | {k: v for k, v in got.items() if k not in parent}
 
 
-@pytest.mark.parametrize(("large", "length"), [(5000, 100), (1, 100), (5000, 400), (1, 40)])
+@pytest.mark.parametrize(("large", "length"), [(5000, 100), (1, 100), (5000, 400), (1, 40), (6, 60)])
 def test_suffix_dedup(spark, docs, texts, nothing, monkeypatch, large, length):
     monkeypatch.setattr(suffix_dedup.sort_bucket, "__defaults__", (large,))
     got = {}
