@@ -7,6 +7,8 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 # vectors
 
 
@@ -155,8 +157,8 @@ def walk(edges: DataFrame, parent: str, child: str, start: Column, most: int | N
     found = level
     for depth in count(1):
         nxt = level.filter(~F.col("cycle")).join(step, F.col("node") == F.col("_p")).select(F.col("_c").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array("_c")).alias("path"), F.array_contains("path", F.col("_c")).alias("cycle"))
-        # kept, so that a deep walk doesn't do all steps again for each step
-        nxt = nxt.localCheckpoint()
+        # written, so that a deep walk doesn't do all steps again for each step
+        nxt = written(nxt, f"level{depth}")
         if nxt.isEmpty():
             break
         if most is not None and depth > most:

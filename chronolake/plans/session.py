@@ -5,7 +5,7 @@ from __future__ import annotations
 import copy
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from datetime import datetime, timedelta, timezone
 
@@ -15,14 +15,57 @@ from pyspark.sql import types as T
 
 from ..config import TableConfig, check_new, with_defaults
 from ..errors import InvalidInstant, NotAllowed, NotSupported, NullInstant, ReadOnlyAsOf, TemporalError, UnknownTable
+from ..operators import versions as V
 from ..operators.versions import BY, DELETED_BY, FROM, ROW_ID, TO
 from ..sources.store import Store
 from ..sources.table import BUCKETS, TemporalTable
 
 MARKER = re.compile(r"\btemporal\.as_of\s*\(\s*([^()]*?)\s*\)", re.IGNORECASE)
+#: Texts, names in quotes and comments of a statement.
+QUOTED = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`|--[^\n]*|/\*(?s:.*?)\*/""")
 INSTANT = re.compile(r"(?:TIMESTAMP(?:TZ)?\s*)?'([^']*)'(?:\s*::\s*timestamptz)?", re.IGNORECASE)
 
 
+def bare(text: str) -> str:
+    """A statement, letter by letter, with comments as blanks and the insides of texts as dots; names in backquotes stay."""
+
+    def hide(found: re.Match) -> str:
+        part = found[0]
+        if part[0] == "`":
+            return part
+        return part[0] + "." * (len(part) - 2) + part[-1] if part[0] in "'\"" else " " * len(part)
+
+    return QUOTED.sub(hide, text)
+
+
+def names_in(text: str, names: Iterable[str]) -> list[str]:
+    """Those of names that a bare statement has as words."""
+    return [n for n in names if re.search(rf"(?<![\w.]){_spelled(n)}(?!\w)", text, re.IGNORECASE)]
+
+
+def _spelled(name: str) -> str:
+    """A name as a pattern, with or without backquotes."""
+    return r"\.".join(f"`?{re.escape(x)}`?" for x in name.split("."))
+
+
+def with_relations(text: str, relations: dict[str, str]) -> str:
+    """A statement over relations of its own, which go before those of its WITH clause; of CREATE ... AS, over those of its query."""
+    if not relations:
+        return text
+    own = ", ".join(f"`{n}` AS ({body})" for n, body in relations.items())
+    plain = bare(text)
+    at = 0
+    if re.match(r"\s*CREATE\b", plain, re.IGNORECASE):
+        found = re.search(r"\bAS\s*(?=\(|SELECT\b|WITH\b|VALUES\b|TABLE\b|FROM\b)", plain, re.IGNORECASE)
+        at = found.end() if found else 0
+    elif found := re.match(r"\s*EXPLAIN(\s+(EXTENDED|CODEGEN|COST|FORMATTED))?\s", plain, re.IGNORECASE):
+        at = found.end()
+    clause = re.compile(r"\s*WITH(\s+RECURSIVE)?\b", re.IGNORECASE).match(plain, at)
+    if clause:
+        return f"{text[:clause.end()]} {own}, {text[clause.end():]}"
+    return f"{text[:at]} WITH {own} {text[at:]}"
+
+
 def instant(value) -> datetime:
     """A moment from a datetime (UTC where it names no zone) or an ISO text."""
     if value is None:
@@ -49,6 +92,7 @@ class TemporalSession:
         self._tx: dict | None = None
         self._tx_version, self._tx_time = 0, None
         self.on_commit: list[Callable[[int], None]] = []
+        self.pins: list[str] = []
 
     # context
 
@@ -137,8 +181,14 @@ class TemporalSession:
         """df as it is now, cut from what it was made of: written to the store's scratch folder."""
         path = f"{self.store.path}/scratch/{uuid.uuid4().hex}"
         df.write.parquet(path)
+        self.pins.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def unpin(self, since: int) -> None:
+        """Delete what was pinned after the first ``since`` ones."""
+        while len(self.pins) > since:
+            self.store.remove(self.pins.pop())
+
     def with_row_ids(self, name: str, rows: DataFrame) -> DataFrame:
         """rows with fresh ids where they have none; ids are never used again."""
         first = self.state_of(name)["next_row_id"]
@@ -311,59 +361,103 @@ class TemporalSession:
         self._edit(lambda state: state["views"].__setitem__(name, text))
 
     def _marked(self, text: str, params: dict) -> tuple[str, datetime | None]:
-        found = []
-        for inner in MARKER.findall(text):
-            literal = INSTANT.fullmatch(inner.strip())
-            if inner.strip().upper() == "NULL":
+        """The statement without its markers, and their instant; texts and comments hold none."""
+        found, parts, at = [], [], 0
+        for mark in MARKER.finditer(bare(text)):
+            inner = text[mark.start(1) : mark.end(1)].strip()
+            literal = INSTANT.fullmatch(inner)
+            if inner.upper() == "NULL":
                 raise NullInstant("temporal.as_of(NULL)")
             if literal:
                 found.append(instant(literal[1]))
-            elif inner.strip().startswith(":") and inner.strip()[1:] in params:
-                found.append(instant(params[inner.strip()[1:]]))
+            elif inner.startswith(":") and inner[1:] in params:
+                found.append(instant(params[inner[1:]]))
             else:
                 raise NotSupported("temporal.as_of takes a literal or a bound parameter")
+            parts += [text[at : mark.start()], "TRUE"]
+            at = mark.end()
         if len(set(found)) > 1:
             raise NotSupported("a statement has one instant")
-        return MARKER.sub("TRUE", text), found[0] if found else None
+        return "".join([*parts, text[at:]]), found[0] if found else None
+
+    def _refuse_writes(self, text: str, names: Iterable[str], t: datetime | None) -> None:
+        plain = bare(text)
+        target = re.match(r"\s*(?:WITH\b.*?\)\s*)?(INSERT\s+(?:INTO|OVERWRITE)|UPDATE|DELETE\s+FROM|MERGE\s+INTO|TRUNCATE\s+TABLE)\s+(?:TABLE\s+)?(.*)", plain, re.IGNORECASE | re.DOTALL)
+        for n in names if target else ():
+            if re.match(rf"{_spelled(n)}(?![\w.])", target[2], re.IGNORECASE):
+                raise ReadOnlyAsOf(f"{n} can't be written while an instant is set") if t is not None else NotSupported("tracked tables are written through their table object")
+            if re.match(rf"{_spelled(n + '__history')}(?![\w.])", target[2], re.IGNORECASE):
+                raise NotAllowed("a history can't be written")
 
     def sql(self, text: str, **params) -> DataFrame:
-        """A query over tracked tables, views and whatever Spark knows, at the marker's instant, else the session's.
+        """A statement over tracked tables, views and whatever this Spark session knows, at the marker's instant, else the session's.
 
         ``WHERE temporal.as_of('2024-01-01')`` anywhere, in a view too, moves the whole
-        statement.  Names of tracked tables with a namespace are written a.b.
+        statement.  Names of tracked tables with a namespace are written a.b.  Tracked
+        tables and views that the statement names are put before it as a WITH clause, so
+        that the user's temporary views, functions and settings hold; those don't see
+        tracked tables themselves.
         """
         state = self._state()
-        views = {n: self._marked(body, params) for n, body in state["views"].items()}
+        tables = [n for n, x in state["tables"].items() if x["tracked"]]
         text, t = self._marked(text, params)
-        used = [n for n in views if re.search(rf"\b{re.escape(n)}\b", text)]
-        marks = {m for m in [t, *(views[n][1] for n in used)] if m is not None}
+        # views, and views in views, those that are read first
+        views, marks = {}, {t}
+
+        def visit(plain: str, above: tuple[str, ...]) -> None:
+            for n in names_in(plain, state["views"]):
+                if n in above:
+                    raise TemporalError(f"the view {n} reads itself")
+                if n not in views:
+                    body, mark = self._marked(state["views"][n], params)
+                    visit(bare(body), (*above, n))
+                    views[n] = body
+                    marks.add(mark)
+
+        visit(bare(text), ())
+        marks.discard(None)
         if len(marks) > 1:
             raise NotSupported("a statement has one instant")
         t = marks.pop() if marks else self.instant
-        if re.match(r"\s*(INSERT|UPDATE|DELETE|MERGE|TRUNCATE)\b", text, re.IGNORECASE):
-            for n in state["tables"]:
-                if re.match(rf"\s*(INSERT\s+(INTO|OVERWRITE)|UPDATE|DELETE\s+FROM|MERGE\s+INTO|TRUNCATE\s+TABLE)\s+(TABLE\s+)?`?{re.escape(n)}`?\b", text, re.IGNORECASE):
-                    raise ReadOnlyAsOf(f"{n} can't be written while an instant is set") if t is not None else NotSupported("tracked tables are written through their table object")
-                if re.match(rf"\s*\w+\s+\w+\s+`?{re.escape(n)}__history", text, re.IGNORECASE):
-                    raise NotAllowed("a history can't be written")
-        if t is not None and re.search(r"\bTABLESAMPLE\b", text, re.IGNORECASE):
+        self._refuse_writes(text, tables, t)
+        bodies = [text, *views.values()]
+        if t is not None and any(re.search(r"\bTABLESAMPLE\b", bare(x), re.IGNORECASE) for x in bodies):
             raise NotSupported("TABLESAMPLE of the past")
-        # temporary views of a new session shadow names without touching the user's session
-        inner = copy.copy(self)
-        inner.spark = self.spark.newSession()
-        inner.store, inner._tx, inner.instant = Store(inner.spark, self.store.path), state, None
-        for n, x in state["tables"].items():
-            if not x["tracked"]:
-                continue
-            table, shown = TemporalTable(inner, n), n.replace(".", "__ns__")
-            if "." in n:
-                text = re.sub(rf"(?<![\w.`]){re.escape(n)}(?!\w)", shown, text)
-            (table.current() if t is None else table.as_of(t)).createOrReplaceTempView(shown)
+
+        # what is read, under names that no one else has
+        sources: dict[str, DataFrame] = {}
+        for n in tables:
+            table, shown = TemporalTable(self, n), n.replace(".", "__ns__")
+            reads = {n: lambda table=table: table.current() if t is None else table.as_of(t)}
             if t is None:
-                table.history().createOrReplaceTempView(f"{shown}__history")
-                table.versions().createOrReplaceTempView(f"{shown}__versions")
-        for n, (body, _) in views.items():
-            if n in used:
-                inner.spark.sql(body).createOrReplaceTempView(n)
-        bound = {k: v for k, v in params.items() if f":{k}" in text}
-        return inner.spark.sql(text, args=bound or None)
+                reads |= {f"{n}__history": table.history, f"{n}__versions": lambda table=table: V.versions(table.current(), table.history())}
+            for name, read in reads.items():
+                if any(names_in(bare(x), [name]) for x in bodies):
+                    sources[name.replace(n, shown, 1)] = read()
+            if "." in n:
+                bodies = [self._renamed(x, n, shown) for x in bodies]
+        text, views = bodies[0], dict(zip(views, bodies[1:]))
+        own = f"_chronolake_{uuid.uuid4().hex}"
+        relations = {n: f"SELECT * FROM {own}_{k}" for k, n in enumerate(sources)} | views
+        for k, df in enumerate(sources.values()):
+            df.createOrReplaceTempView(f"{own}_{k}")
+        bound = {k: v for k, v in params.items() if re.search(rf":{re.escape(k)}\b", "".join(map(bare, bodies)))}
+        try:
+            return self.spark.sql(with_relations(text, relations), args=bound or None)
+        finally:
+            for k in range(len(sources)):
+                self.spark.catalog.dropTempView(f"{own}_{k}")
+
+    def _renamed(self, text: str, old: str, new: str) -> str:
+        parts, at = [], 0
+        for found in re.finditer(rf"(?<![\w.]){_spelled(old)}(?=(__history|__versions)?(?!\w))", bare(text), re.IGNORECASE):
+            parts += [text[at : found.start()], new]
+            at = found.end()
+        return "".join([*parts, text[at:]])
+
+    def clone(self, path: str) -> TemporalSession:
+        """A session over a new store that begins as this one is now; data files are shared, commits aren't."""
+        copied = copy.copy(self)
+        copied.store, copied._tx, copied.on_commit = Store(self.spark, path), None, []
+        copied.store.commit(0, self._state())
+        return copied

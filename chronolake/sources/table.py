@@ -229,12 +229,13 @@ class TemporalTable:
     def _apply(self, ops: DataFrame) -> int:
         """Write one statement: o is the row before (null: insert), n the row after (null: delete)."""
         tx, user = self._guard()
-        store, state, config = self.session.store, self.state, self.config
+        store, state, config, pins = self.session.store, self.state, self.config, len(self.session.pins)
         ops = self.session.pinned(ops)
         own = [F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c) for c in self.key]
         moved = [F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in self.key]
         seen = ops.agg(F.count("*").alias("n"), F.count_if(F.col(f"o.{V.FROM}") > F.lit(tx)).alias("stale"), F.count_distinct(F.struct(*own)).alias("keys"), F.count_distinct(F.struct(*moved)).alias("ends")).head()
         if not seen.n:
+            self.session.unpin(pins)
             return 0
         if seen.stale:
             raise StaleWriter(f"{self.name}: a row is newer than the transaction")
@@ -289,6 +290,7 @@ class TemporalTable:
             old[side] = {b: p for b, p in old[side].items() if b not in touched} | written
         closed = list(state["closed"]) + list(store.write(ordered(aged, V.FROM), "closed", config.codec).values())
         self.session.change(self.name, **old, closed=closed, newest_end=max(state["newest_end"] or 0, _micros(tx)))
+        self.session.unpin(pins)
         return seen.n
 
     # maintenance

@@ -1,8 +1,12 @@
 """Streams of operations into a tracked table, and streams of versions.
 
-``into_table`` applies each micro-batch as one transaction; a batch that was applied is
-known by its number and skipped when it comes again.  ``versions`` folds a stream of
-operations into closed versions with one small state for each key: the open version.
+``snapshots_into_table`` applies each micro-batch as one transaction: a table's versions
+are its states after the batches, so that of a key's operations in one batch only the
+last makes one.  A batch that was applied is known by the stream's checkpoint and its
+number and skipped when it comes again; other streams into the table have their own
+numbers.  A stream's whole history, whatever its batches, is what ``versions`` gives: it
+folds a stream of operations into closed versions with one small state for each key: the
+open version.
 """
 
 from __future__ import annotations
@@ -10,28 +14,30 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.versions import BY, CURRENT, DELETED_BY, FROM, TO
 
 
-def into_table(stream: DataFrame, session, name: str, checkpoint: str, order: str, deleted: str | None = None):
-    """Start a query that upserts (and deletes) rows by key, the last operation of a key in a batch."""
+def snapshots_into_table(stream: DataFrame, session, name: str, checkpoint: str, order: str, deleted: str | None = None):
+    """Start a query that upserts (and deletes) rows by key, the last operation of a key in a batch; ties of order go to the larger row."""
 
     def apply(batch: DataFrame, number: int) -> None:
         table = session.table(name)
-        if table.state.get("last_batch", -1) >= number or batch.isEmpty():
+        done = table.state.get("batches", {})
+        if done.get(checkpoint, -1) >= number or batch.isEmpty():
             return
-        last = batch.withColumn("_n", F.row_number().over(Window.partitionBy(*table.key).orderBy(F.col(order).desc()))).filter("_n = 1").drop("_n")
+        last = batch.groupBy(*table.key).agg(F.max_by(F.struct(*batch.columns), F.struct(order, *(f.name for f in batch.schema if f.name != order and not isinstance(f.dataType, T.MapType)))).alias("_r")).select("_r.*")
         last = session.pinned(last)
         with session.transaction():
-            live = last if deleted is None else last.filter(~F.col(deleted))
+            live = last if deleted is None else last.filter(~F.coalesce(F.col(deleted), F.lit(False)))
             table.upsert(live.select(*(c for c in live.columns if c in table.app_columns)))
             if deleted is not None:
                 table.delete(source=last.filter(deleted).select(*table.key))
-            session.change(name, last_batch=number)
+            session.change(name, batches=done | {checkpoint: number})
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
 

@@ -277,3 +277,64 @@ def test_drop_history_before(session, clock):
     assert ends() == [20, 30, 40] and t.current().count() == 1
     t.drop_history_before(T0 + timedelta(seconds=41))
     assert ends() == [] and rows(t.current(), "name") == [("n3",)]
+
+
+def test_markers_in_texts_and_comments_are_none(session, clock):
+    items(session)
+    clock.move(10)
+    session.table("items").update({"name": F.lit("b")}, F.col("id") == 1)
+    q = "SELECT name, 'temporal.as_of(NULL)' AS said, \"DELETE FROM items\" AS more FROM items -- temporal.as_of('2024-01-01')\n/* TABLESAMPLE temporal.as_of('x') */ WHERE note <> 'it''s temporal.as_of(1)'"
+    assert rows(session.sql(q), "*") == [("b", "temporal.as_of(NULL)", "DELETE FROM items")]
+    assert rows(session.sql(q + " AND temporal.as_of('2024-01-01')"), "name") == [("a",)]
+
+
+def test_views_over_views_travel(session, clock):
+    items(session)
+    clock.move(10)
+    session.table("items").update({"name": F.lit("b")}, F.col("id") == 1)
+    session.create_view("inner_view", "SELECT id, name FROM items")
+    session.create_view("outer_view", "WITH x AS (SELECT * FROM inner_view) SELECT upper(name) AS loud FROM x")
+    assert rows(session.sql("SELECT * FROM outer_view"), "*") == [("B",)]
+    assert rows(session.sql("SELECT * FROM outer_view WHERE temporal.as_of('2024-01-01 00:00:05')"), "*") == [("A",)]
+    session.create_view("marked", "SELECT * FROM outer_view WHERE temporal.as_of('2024-01-01 00:00:05')")
+    assert rows(session.sql("SELECT m.loud, i.name FROM marked m, items i"), "*") == [("A", "a")]
+    session.create_view("loop", "SELECT * FROM loop")
+    with pytest.raises(TemporalError):
+        session.sql("SELECT * FROM loop")
+
+
+def test_sql_sees_the_users_session(session, clock, spark):
+    items(session)
+    spark.createDataFrame([(1, "mine")], "id int, tag string").createOrReplaceTempView("my_tags")
+    spark.udf.register("shout", lambda x: x + "!", "string")
+    assert rows(session.sql("SELECT items.name, tag, shout(tag) AS s FROM items JOIN my_tags ON my_tags.id = items.id"), "*") == [("a", "mine", "mine!")]
+    assert rows(session.sql("WITH RECURSIVE n(k) AS (SELECT 1 UNION ALL SELECT k + 1 FROM n WHERE k < 3) SELECT k, name FROM n, `items`"), "*") == [(1, "a"), (2, "a"), (3, "a")]
+    session.sql("CREATE OR REPLACE TEMPORARY VIEW frozen AS SELECT name FROM my_tags JOIN VALUES ('z') AS v(name)")
+    assert rows(spark.table("frozen"), "*") == [("z",)]
+    assert not [x.name for x in spark.catalog.listTables() if x.name.startswith("_chronolake")]
+    for bad in ("INSERT INTO `items` SELECT 1", "/* x */ DELETE FROM items", "WITH a AS (SELECT 1) INSERT INTO items SELECT * FROM a"):
+        with pytest.raises(NotSupported):
+            session.sql(bad)
+
+
+def test_a_commit_is_whole_or_absent(session, clock, spark):
+    items(session)
+    store = session.store
+    version, state = store.latest()
+    # a writer that died left a draft
+    fs, draft = store._fs(f"{store.path}/_log/_draft-dead")
+    fs.create(draft, False).close()
+    assert store.latest() == (version, state)
+    assert store.commit(version, state) == version + 1
+    with pytest.raises(StaleWriter):
+        store.commit(version, state)
+    assert store.latest()[0] == version + 1
+
+
+def test_clone_shares_data_and_no_commits(session, clock, tmp_path):
+    items(session)
+    other = session.clone(f"file://{tmp_path}/clone")
+    clock.move(10)
+    other.table("items").delete(F.col("id") == 1)
+    assert session.table("items").current().count() == 1 and other.table("items").current().count() == 0
+    assert not session.pins
