@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store_queries
 from .functions import compat
 from .operators import changes as C
 from .operators import maintain as M
@@ -154,7 +155,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "asof_paging": "SELECT user_id, value FROM {acc} ORDER BY user_id LIMIT 10 OFFSET 20",
     "asof_predicates": ("SELECT user_id FROM {acc} WHERE array_contains(array('click', 'view'), event_type) AND forall(array(500D, 900D), x -> value < x) AND event_type RLIKE '^(click|view|purchase)$' AND changed_by IS DISTINCT FROM 'u0' AND event_type LIKE '%i%'", "SELECT user_id FROM {acc} WHERE event_type = ANY(['click', 'view']) AND value < 500 AND value < 900 AND regexp_full_match(event_type, 'click|view|purchase') AND changed_by IS DISTINCT FROM 'u0' AND event_type LIKE '%i%'"),
     "asof_unnest": ("SELECT user_id, pos + 1 AS ord, part FROM (SELECT user_id, posexplode(split(concat(event_type, '/', changed_by), '/')) AS (pos, part) FROM {acc})", "SELECT user_id, CAST(i AS INTEGER) AS ord, parts[i] AS part FROM (SELECT user_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT user_id, string_split(event_type || '/' || changed_by, '/') AS parts FROM {acc}))"),
-    "asof_recursive": "WITH RECURSIVE hop(user_id, depth) AS (SELECT user_id, 0 FROM {acc} UNION ALL SELECT h.user_id + 7, h.depth + 1 FROM hop h WHERE h.depth < 6) SELECT h.user_id, depth, event_type FROM hop h JOIN {acc} a ON a.user_id = h.user_id",
+    "asof_recursive": "WITH RECURSIVE hop(user_id, depth, root) AS (SELECT user_id, 0, user_id FROM {acc} UNION ALL SELECT a.user_id, h.depth + 1, h.root FROM hop h JOIN {acc} a ON CAST(floor(a.user_id / 2) AS BIGINT) = h.user_id WHERE a.user_id > h.user_id) SELECT h.root, depth, a.user_id, event_type FROM hop h JOIN {acc} a ON a.user_id = h.user_id",
     "asof_date_math": ("SELECT user_id, date_trunc('DAY', valid_from) AS day, extract(HOUR FROM valid_from) AS hour, valid_from + INTERVAL '1' DAY AS plus_day FROM {acc}", "SELECT user_id, CAST(date_trunc('day', valid_from) AS TIMESTAMP) AS day, CAST(extract(hour FROM valid_from) AS INTEGER) AS hour, valid_from + INTERVAL 1 DAY AS plus_day FROM {acc}"),
     "asof_strings": ("SELECT user_id, concat(upper(event_type), ':', left(changed_by, 1), ':', repeat('x', 2)) AS s, length(event_type) AS n, coalesce(nullif(event_type, 'view'), 'none') AS k, hex(event_type) AS h FROM {acc}", "SELECT user_id, upper(event_type) || ':' || left(changed_by, 1) || ':' || repeat('x', 2) AS s, CAST(length(event_type) AS INTEGER) AS n, coalesce(nullif(event_type, 'view'), 'none') AS k, hex(event_type) AS h FROM {acc}"),
     "asof_math": "SELECT user_id, round(value / 3, 2) AS third, least(value, 50) AS capped, greatest(value, 10) AS floored, CAST(floor(value) AS BIGINT) AS whole FROM {acc}",
@@ -167,8 +168,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "changes_columns": "SELECT operation, changed, count(*) AS n FROM {chg} GROUP BY operation, changed",
     "changes_composed": "SELECT changed_by, operation, count(*) AS n FROM {chg} WHERE old_type = 'click' OR new_type = 'click' GROUP BY changed_by, operation ORDER BY n DESC LIMIT 20",
     "excluded_only": ("SELECT * FROM {ver}", "SELECT * FROM {ver}"),
-    "merge_from_history": "SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN b.user_id IS NULL THEN 'insert' WHEN a.user_id IS NULL THEN 'keep' ELSE 'update' END AS action, coalesce(a.event_type, b.event_type) AS event_type FROM {acc} a FULL JOIN {base} b ON a.user_id = b.user_id",
-    "bitemporal_overlap": "SELECT a.user_id, a.event_type, count(*) AS overlaps FROM (SELECT user_id, event_type, valid_from AS f, valid_from + INTERVAL '2' DAY AS t FROM {acc}) a JOIN (SELECT user_id, valid_from AS f, valid_from + INTERVAL '5' DAY AS t FROM {late}) b ON a.user_id = b.user_id AND a.f < b.t AND b.f < a.t GROUP BY a.user_id, a.event_type",
+    "bitemporal_overlap": "SELECT a.user_id, a.event_type, count(*) AS overlaps FROM (SELECT user_id, event_type, valid_from AS f, valid_from + INTERVAL '10' DAY AS t FROM {acc}) a JOIN (SELECT user_id, valid_from AS f, valid_from + INTERVAL '10' DAY AS t FROM {late}) b ON a.user_id = b.user_id AND a.f < b.t AND b.f < a.t GROUP BY a.user_id, a.event_type",
 }
 
 
@@ -268,8 +268,7 @@ MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "heatmap_bin": (lambda s, d: C.heatmap(account(s, d), KEY, 6 * 3600), "SELECT time_bucket(INTERVAL 6 HOUR, valid_from, TIMESTAMP '1970-01-01') AS bin, changed_by, count(DISTINCT user_id) AS rows, count(*) AS versions FROM ver GROUP BY 1, 2"),
     "table_stats": (lambda s, d: C.table_stats(*V.split(account(s, d))), "SELECT (SELECT count(*) FROM base) AS base_rows, (SELECT count(*) FROM hist) AS history_rows, count(*) AS version_rows, min(valid_from) AS oldest, max(valid_from) AS newest, round(count(*) / (SELECT count(*) FROM base), 2) AS avg_versions FROM ver"),
     "prune": (lambda s, d: M.prune(V.split(account(s, d))[1], at(THEN)), f"SELECT * FROM hist WHERE valid_to >= TIMESTAMP '{THEN}'"),
-    "drop_history_before": (lambda s, d: M.drop_before(V.split(account(s, d))[1], at(THEN), F.date_trunc("DAY", V.TO)), f"SELECT * FROM hist WHERE valid_to >= TIMESTAMP '{THEN}'"),
-    "prune_count": (lambda s, d: V.split(account(s, d))[1].agg(F.count_if(F.col(V.TO) < at(THEN)).alias("pruned")), f"SELECT count(*) AS pruned FROM hist WHERE valid_to < TIMESTAMP '{THEN}'"),
+    "drop_segments_before": (lambda s, d: M.drop_before(V.split(account(s, d))[1], at(THEN), F.date_trunc("DAY", V.TO)), f"SELECT * FROM hist WHERE valid_to >= TIMESTAMP '{THEN}'"),
     "compact_history": (
         lambda s, d: M.compact(_compact_source(s, d), KEY, ["user_id", "event_type"]),
         """SELECT user_id, event_type, valid_from, changed_by, last_to AS valid_to, deleted_by FROM (
@@ -277,14 +276,6 @@ MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
                SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY valid_from) AS island FROM (
                  SELECT *, CASE WHEN lag(valid_to) OVER w = valid_from AND lag(event_type) OVER w IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS fresh FROM hist WINDOW w AS (PARTITION BY user_id ORDER BY valid_from)))) WHERE fresh = 1""",
     ),
-    "restore": (
-        lambda s, d: V.at_instant(account(s, d), at(THEN)).filter("user_id = 7").select("user_id", "event_type", "value"),
-        "SELECT user_id, event_type, value FROM acc WHERE user_id = 7",
-    ),
-    "restore_deleted": (
-        lambda s, d: (lambda f: f.join(f.filter(V.CURRENT).select("user_id"), "user_id", "left_anti").groupBy("user_id").agg(F.max_by(F.struct("event_type", "value"), V.FROM).alias("r")).select("user_id", "r.event_type", "r.value"))(account(s, d)),
-        "SELECT user_id, max_by(event_type, valid_from) AS event_type, max_by(value, valid_from) AS value FROM ver WHERE user_id NOT IN (SELECT user_id FROM base) GROUP BY user_id",
-    ),
     "same_tx_collapse": (lambda s, d: cust(s, d).drop(V.DELETED_BY, V.CURRENT), "SELECT * FROM cver"),
     "vector_asof": (
         lambda s, d: (lambda e: e.crossJoin(F.broadcast(e.filter("vec_id = 0").select(F.col("embedding").alias("q")))).join(V.as_of(*V.split(account(s, d)), at(THEN)).select("user_id"), F.col("vec_id") == F.col("user_id")).select("vec_id", F.round(compat.l2_distance(F.col("embedding"), F.col("q")), 4).alias("distance")).orderBy("distance", "vec_id").limit(10))(table(s, d, "embeddings")),
@@ -298,9 +289,11 @@ MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _text_query(t if isinstance(t, str) else t[0]) for n, t in TEXTS.items()}
 QUERIES |= {n: f for n, (f, _) in MORE.items()}
+QUERIES |= store_queries.QUERIES
 QUERIES["combine_replay"] = lambda s, d: combined(s, d)
 QUERIES["excluded_only"] = lambda s, d: replay.by_lead(props_log(s, d), KEY, VALUES, "ts", "who", "gone", ["props"]).drop("props")
 
 ORACLE_SQL: dict[str, str] = {n: _oracle(t if isinstance(t, str) else t[1]) for n, t in TEXTS.items()}
 ORACLE_SQL |= {n: _oracle(t) for n, (_, t) in MORE.items()}
+ORACLE_SQL |= store_queries.oracle(_combine_sql)
 ORACLE_SQL["combine_replay"] = _combine_sql(_EVENT_OPS, SIX_HOURS) + "SELECT k AS user_id, v, make_timestamp(vf) AS valid_from, cw AS changed_by, make_timestamp(vt) AS valid_to, db AS deleted_by, now AS is_current FROM every"
