@@ -38,8 +38,15 @@ def test_left_join_and_recursion_cover_the_whole_table(spark):
     left = [r.c_custkey for r in entry.queries()["asof_left_join"](spark, table).select("c_custkey").collect()]
     assert len(left) == len(customers) and set(left) == customers
     users = {r.user_id for r in entry.queries()["asof_scan"](spark, table).select("user_id").collect()}
-    hops = [(r.user_id, r.depth) for r in entry.queries()["asof_recursive"](spark, table).collect()]
-    assert sorted(hops) == sorted((u + 7 * k, k) for u in users for k in range(7) if u + 7 * k in users)
+    hops = [(r.root, r.depth, r.user_id) for r in entry.queries()["asof_recursive"](spark, table).collect()]
+    want = []
+    for user in users:
+        root, depth = user, 0
+        want.append((root, depth, user))
+        while root // 2 < root and root // 2 in users:
+            root, depth = root // 2, depth + 1
+            want.append((root, depth, user))
+    assert sorted(hops) == sorted(want) and max(depth for _, depth, _ in want) > 2
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
