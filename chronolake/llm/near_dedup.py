@@ -3,12 +3,13 @@
 Documents with one shingle set are a class, represented by its smallest id.  In each of
 ``TREES`` independent trees a representative goes to the node of a path of ``PATH``
 minwise shingles; two sets of similarity s meet there with probability s^PATH.  A node
-of more than ``SMALL`` sets branches again by minwise values that the node selects, by
-``BRANCHES`` of them down to level ``TWICE`` and by one below, so that a pair at 0.8 goes
-on together in a tree with probability 0.96 a level there (0.8 below); a small one is
-compared exhaustively on 128-value sketches.  At similarity 0.8 a pair is missed by all
-trees with probability 0.36^12 (5e-6) where the first nodes are small, and with 1e-5,
-2e-5 and 4e-5 where all of them branch at one, two and three levels.
+of more than ``SMALL`` sets branches again by a minwise value that the node selects, and
+one node in ``SECOND`` by a second value: 1.25 branches on average, so that a pair at 0.8
+has one node in common to expect at each level of a tree, while sets grow by a quarter a
+level at most.  A small node is compared exhaustively on 128-value sketches.  At
+similarity 0.8 a pair is missed by all trees with probability 0.36^16 (8e-8) where the
+first nodes are small, and with 4e-6, 4e-5 and 2e-4 where all of them branch at one, two
+and three levels.
 
 Pairs that the sketches allow are candidates.  In a dense node only links to a few hubs
 are candidates at first; large nodes link to their hub.  Candidates are confirmed on
@@ -39,12 +40,12 @@ from pyspark.sql import functions as F
 from .scratch import materialize
 from .shingles import mix, shingle_set
 
-TREES = 12
+TREES = 16
 PATH = 2
 SKETCH = 128
 SMALL = 1024
 LEVELS = 8
-BRANCHES, TWICE = 2, 3
+SECOND = 4  # one large node in so many branches by two values
 SALTS = 16
 MARGIN = 4  # standard deviations of the sketch's estimate below the threshold
 _rng = np.random.default_rng(20240229)
@@ -312,7 +313,7 @@ def links_of(signed: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
         families.append(split if level == LEVELS else split.filter("family"))
         if level == LEVELS:
             break
-        branch = F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1 if level <= TWICE else 0)))
+        branch = F.explode(F.sequence(F.lit(0), F.when(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SECOND)) == 0, 1).otherwise(0)))
         wide = split.filter("not family").select("node", "id").join(lean, "id").withColumn("branch", branch)
         value = F.substr("sketch", F.pmod(F.col("node") + F.col("branch") * 61, F.lit(SKETCH)).cast("int") + 1, F.lit(1))
         rows = wide.select(F.xxhash64("node", "branch", value).alias("node"), "id")
