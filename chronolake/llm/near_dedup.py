@@ -5,8 +5,8 @@ Documents with one shingle set are a class, represented by its smallest id.  In
 minwise shingles; two sets of similarity s meet there with probability s^PATH.  A node
 of more than ``SMALL`` sets branches again by a minwise value that the node selects, and
 one node in ``SECOND`` by a second value: 1.25 branches on average, so that a pair at 0.8
-has one node in common to expect at each level of a tree, while sets grow by a quarter a
-level at most.  A small node is compared exhaustively on 128-value sketches.  At
+has one node in common to expect at each level of a tree, while rows grow by a quarter a
+level on average at most.  A small node is compared exhaustively on 128-value sketches.  At
 similarity 0.8 a pair is missed by all trees with probability 0.36^16 (8e-8) where the
 first nodes are small, and with 4e-6, 4e-5 and 2e-4 where all of them branch at one, two
 and three levels.
