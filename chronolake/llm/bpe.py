@@ -81,7 +81,7 @@ class TokenAutomaton:
         self.width = max(map(len, digits))
         self.decimal = np.frombuffer("".join(x.ljust(self.width) for x in digits).encode(), np.uint8).reshape(n, self.width)
         self.specials = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.word = Cache(self.word_ids, 250_000)
+        self.word = Cache(self.word_ids, 100_000)
 
     def compile(self, letters: list[int], merges: list[tuple[int, int, int]]) -> None:
         """The arcs of all states, gadget by gadget."""
@@ -122,7 +122,7 @@ class TokenAutomaton:
             in_column[column[u]] += 1
         self.table = np.ascontiguousarray(table[: len(in_row), : (len(in_column) + 7) // 8])
         self.row, self.column = np.array(row, np.int32), np.array(column, np.int32)
-        self.bits, self.stride = self.table.tobytes(), self.table.shape[1]
+        self.bits, self.stride = self.table.reshape(-1).data, self.table.shape[1]
 
     def grow_tree(self) -> None:
         """The prefix tree of all tokens that are ever made: transitions by byte, inner nodes first, and the token that each node reads."""

@@ -15,7 +15,7 @@ from .cache import Cache
 from .shingles import mix
 
 TOKENS = re.compile(r"\w+|[^\w\s]+")
-_tokens = Cache(xxhash.xxh3_64_intdigest, 200_000)
+_tokens = Cache(xxhash.xxh3_64_intdigest, 50_000)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -7,7 +7,7 @@ import xxhash
 
 from .cache import Cache
 
-_words = Cache(xxhash.xxh3_64_intdigest, 200_000)
+_words = Cache(xxhash.xxh3_64_intdigest, 50_000)
 _MIX, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
