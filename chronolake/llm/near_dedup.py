@@ -222,13 +222,13 @@ def linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
 
 
 def near_hub(threshold: float) -> Callable:
-    """node, id, hub, sketch, hub_sketch -> node, id, hub and whether the sketches allow a link with the hub."""
+    """node, id, hub, sketch, hub_sketch, more -> node, id, hub, more and whether the sketches allow a link with the hub."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 same = (sketches_of(batch.column(3)) == sketches_of(batch.column(4))).sum(axis=1) >= least_match(threshold)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(same)], ["node", "id", "hub", "near"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *batch.columns[5:], pa.array(same)], [*batch.schema.names[:3], *batch.schema.names[5:], "near"])
 
     return run
 
@@ -286,6 +286,16 @@ def salted_join(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
     return dealt.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"]).drop("_salt")
 
 
+def node_sizes(rows: DataFrame) -> DataFrame:
+    """node, m, hub of the nodes of more than one row; of small nodes with the same ids only one, since the others have the same pairs."""
+    parts = [part for seed in (5, 6) for h in [F.xxhash64("id", F.lit(seed))] for part in (F.shiftright(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    sums = {f"_s{k}": F.sum(part) for k, part in enumerate(parts)}
+    found = rows.groupBy("node").agg(F.count("*").alias("m"), F.min("id").alias("hub"), *(x.alias(n) for n, x in sums.items())).filter("m > 1")
+    # a large node is told apart by its own number: it branches by values that this selects
+    own = F.when(F.col("m") > SMALL, F.col("node")).alias("_own")
+    return found.groupBy("m", "hub", *sums, own).agg(F.min("node").alias("node")).select("node", "m", "hub")
+
+
 def links_of(signed: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """id and comp of the representatives that have confirmed links.  docs: id, text."""
     threshold = percent / 100
@@ -296,27 +306,26 @@ def links_of(signed: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     rows = own.select("id", F.posexplode("tokens").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "id")
     small, hubs, families, level = [], [], [], 0
     while True:
-        sizes = rows.groupBy("node").agg(F.count("*").alias("m"), F.min("id").alias("hub")).filter("m > 1")
-        rows = materialize(rows.join(sizes, "node").select("node", "id", "m", "hub"), f"level{level}")
+        rows = materialize(rows.join(node_sizes(rows), "node").select("node", "id", "m", "hub"), f"level{level}")
         small.append(rows.filter(F.col("m") <= SMALL).select("node", "id"))
         large = rows.filter(F.col("m") > SMALL)
         if large.isEmpty():
             break
         level += 1
         hub = lean.select(F.col("id").alias("hub"), F.col("sketch").alias("hub_sketch"))
-        flagged = large.join(lean, "id").join(hub, "hub").select("node", "id", "hub", "sketch", "hub_sketch").mapInArrow(near_hub(threshold), "node bigint, id bigint, hub bigint, near boolean")
+        values = [F.substr("sketch", F.pmod(F.col("node") + k * 61, F.lit(SKETCH)).cast("int") + 1, F.lit(1)).alias(f"v{k}") for k in (0, 1)]
+        flagged = large.join(lean, "id").join(hub, "hub").select("node", "id", "hub", "sketch", "hub_sketch", *values).mapInArrow(near_hub(threshold), "node bigint, id bigint, hub bigint, v0 binary, v1 binary, near boolean")
         flagged = materialize(flagged, f"hubs{level}")
         hubs.append(flagged.filter("near and id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), F.lit(None).cast("bigint").alias("node")))
         # a node that is little but its hub's family needs no more branching: the others ask all its rows in the second round
         kinds = flagged.groupBy("node").agg((F.count_if(~F.col("near")) * 8 <= F.count("*")).alias("family"))
-        split = flagged.join(kinds, "node")
+        split = materialize(flagged.select("node", "id", "v0", "v1").join(kinds, "node"), f"split{level}")
         families.append(split if level == LEVELS else split.filter("family"))
         if level == LEVELS:
             break
         branch = F.explode(F.sequence(F.lit(0), F.when(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SECOND)) == 0, 1).otherwise(0)))
-        wide = split.filter("not family").select("node", "id").join(lean, "id").withColumn("branch", branch)
-        value = F.substr("sketch", F.pmod(F.col("node") + F.col("branch") * 61, F.lit(SKETCH)).cast("int") + 1, F.lit(1))
-        rows = wide.select(F.xxhash64("node", "branch", value).alias("node"), "id")
+        wide = split.filter("not family").select("node", "id", "v0", "v1", branch.alias("branch"))
+        rows = wide.select(F.xxhash64("node", "branch", F.when(F.col("branch") == 0, F.col("v0")).otherwise(F.col("v1"))).alias("node"), "id")
 
     nodes = small[0]
     for more in small[1:]:
@@ -332,7 +341,7 @@ def links_of(signed: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
         needed = needed.unionByName(more.select("id"))
     needed = needed.distinct()
     # the ids have no proven bound, so they are never broadcast
-    texts = materialize(docs.join(needed.hint("merge"), "id", "left_semi").select("id", F.col("text").cast("binary").alias("text")).mapInArrow(pack, "id bigint, packed binary"), "texts")
+    texts = materialize(docs.join(needed.hint("merge"), "id", "left_semi").select("id", F.col("text").cast("binary").alias("text")).mapInArrow(pack, "id bigint, packed binary").join(lean, "id"), "texts")
 
     x, y = texts.select(F.col("id").alias("a"), F.col("packed").alias("x")), texts.select(F.col("id").alias("b"), F.col("packed").alias("y"))
     links = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(confirm(size, percent), "a bigint, b bigint"), "links")
@@ -361,7 +370,7 @@ def links_of(signed: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     asking = sized.filter("role = 1").withColumn("ob", block("obs")).withColumn("rb", all_of("rbs"))
     asked = sized.filter("role = 0").withColumn("rb", block("rbs")).withColumn("ob", all_of("obs"))
     columns = ["g", "ob", "rb", "id", "comp", "role"]
-    blocks = asking.select(*columns).unionByName(asked.select(*columns)).join(lean, "id").join(texts, "id")
+    blocks = asking.select(*columns).unionByName(asked.select(*columns)).join(texts, "id")
     blocks = blocks.select("g", "ob", "rb", "id", "n", "sketch", "comp", "role", "packed").repartition("g", "ob", "rb").sortWithinPartitions("g", "ob", "rb", "role", "id")
     found = materialize(blocks.mapInArrow(compare_across(threshold, size, percent), "a bigint, b bigint, node bigint").select("a", "b"), "more")
     if found.isEmpty():

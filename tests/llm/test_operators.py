@@ -547,3 +547,26 @@ def test_toxicity_fits_on_8000_rows_one_an_id(spark, monkeypatch):
     labels = spark.range(9000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
     toxicity.score_toxicity(docs.unionByName(docs.limit(500)), labels, F.lit(True), F.lit(False))
     assert seen == [(8000, np.int32)]
+
+
+def test_near_dedup_visits_the_same_ids_once(spark, monkeypatch):
+    """Two texts meet in many trees; nodes with the same ids have the same pairs, others keep theirs."""
+    words = [f"w{k}" for k in range(200)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "x"])), (3, " ".join([*words, "y"])), (4, "a b c d e f g h"), (5, "a b c d e f g h i")], "doc_id long, text string")
+    made, plain = {}, near_dedup.materialize
+
+    def kept(df, name):
+        made[name] = plain(df, name)
+        return made[name]
+
+    monkeypatch.setattr(near_dedup, "materialize", kept)
+    found = {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+    nodes = {}
+    for r in made["level0"].collect():
+        nodes.setdefault(r.node, []).append(r.id)
+    sets = sorted(tuple(sorted(x)) for x in nodes.values())
+    assert len(sets) == len(set(sets)) and (1, 2, 3) in sets and (4, 5) in sets
+    # the same sum of two ids, and rows of one id twice, are other sets
+    rows = spark.createDataFrame([(1, 1), (1, 4), (2, 2), (2, 3), (3, 4), (3, 1), (4, 5), (4, 5), (4, 7), (5, 6), (5, 6), (5, 7)], "node long, id long")
+    assert sorted(r.node for r in near_dedup.node_sizes(rows).collect()) == [1, 2, 4, 5]
