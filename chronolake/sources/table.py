@@ -50,7 +50,7 @@ class TemporalTable:
     def app_columns(self) -> list[str]:
         return [c for c in self.schema.names if c not in (*V.MANAGED, V.ROW_ID)]
 
-    def _bucket(self, names: Sequence[str] | None = None) -> Column:
+    def _bucket(self, names: Sequence[str | Column] | None = None) -> Column:
         return F.pmod(F.xxhash64(*(names or self.key)), F.lit(self.state["buckets"])).cast("int")
 
     # reads
@@ -195,13 +195,17 @@ class TemporalTable:
     def upsert(self, rows: DataFrame, where: Column | None = None, on: Sequence[str] | None = None) -> int:
         """Insert new keys, update known ones; columns that rows lack keep their values, where limits the updates."""
         given = [c for c in rows.columns if c in self.app_columns]
-        return self.merge(rows, on, update={c: F.col(f"s.{c}") for c in given}, update_when=where, insert={c: F.col(f"s.{c}") for c in given})
+        return self._merge(rows, on, update={c: F.col(f"s.{c}") for c in given}, update_when=where, insert={c: F.col(f"s.{c}") for c in given}, plain=True)
 
     def merge(self, source: DataFrame, on: Sequence[str] | None = None, update: dict[str, Column] | None = None, update_when: Column | None = None, delete_when: Column | None = None, insert: dict[str, Column] | None = None, insert_when: Column | None = None) -> int:
         """MERGE: matched rows are deleted, updated or left, source rows without a match inserted or left.
 
         Columns are named t.x for the table and s.x for the source.
         """
+        return self._merge(source, on, update, update_when, delete_when, insert, insert_when)
+
+    def _merge(self, source: DataFrame, on: Sequence[str] | None, update: dict[str, Column] | None, update_when: Column | None = None, delete_when: Column | None = None, insert: dict[str, Column] | None = None, insert_when: Column | None = None, plain: bool = False) -> int:
+        """plain: inserted columns are the source's own."""
         tx, user = self._guard()
         on = list(on or self.key)
         s, t = source.alias("s"), self.current().withColumn("_t", F.lit(True)).alias("t")
@@ -219,39 +223,66 @@ class TemporalTable:
         if insert is not None:
             fresh = both.filter(~hit & (F.lit(True) if insert_when is None else insert_when)).select(*(v.alias(c) for c, v in insert.items()))
             new = self._stamp_rows(fresh, tx, user)
-            self._check_rows(new)
             ops = ops.unionByName(new.select(F.lit(None).cast(self.schema).alias("o"), F.struct(*self.schema.names).alias("n")))
-        return self._apply(ops)
+        # a source row without a match on the key is new if the key reaches the table as it was compared
+        kind = dict(source.dtypes)
+        same = all(c in on and kind.get(c) == kinds[c].simpleString() and c not in self.config.generated for c in self.key)
+        return self._apply(ops, matched=plain and same)
 
     def truncate(self) -> None:
         raise NotSupported("a tracked table can't be truncated")
 
-    def _apply(self, ops: DataFrame) -> int:
-        """Write one statement: o is the row before (null: insert), n the row after (null: delete)."""
+    def _apply(self, ops: DataFrame, matched: bool = False) -> int:
+        """Write one statement: o is the row before (null: insert), n the row after (null: delete).
+
+        matched: no inserted key is in the table.
+        """
+        pins = len(self.session.pins)
+        try:
+            return self._write(self.session.pinned(ops), matched)
+        finally:
+            self.session.unpin(pins)
+
+    def _write(self, ops: DataFrame, matched: bool) -> int:
         tx, user = self._guard()
-        store, state, config, pins = self.session.store, self.state, self.config, len(self.session.pins)
-        ops = self.session.pinned(ops)
-        own = [F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c) for c in self.key]
-        moved = [F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in self.key]
-        seen = ops.agg(F.count("*").alias("n"), F.count_if(F.col(f"o.{V.FROM}") > F.lit(tx)).alias("stale"), F.count_distinct(F.struct(*own)).alias("keys"), F.count_distinct(F.struct(*moved)).alias("ends")).head()
+        store, state, config, schema, past, key = self.session.store, self.state, self.config, self.schema, self.history_schema, self.key
+        own = [F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c) for c in key]
+        moved = [F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in key]
+        delete, insert = F.col("n").isNull(), F.col("o").isNull()
+        missing, elsewhere = F.lit(False), ~F.struct(*own).eqNullSafe(F.struct(*moved))
+        required = [*key, *state["not_null"]]
+        for c in required:
+            missing = missing | F.col(f"n.{c}").isNull()
+        # one pass: what is wrong with the statement, and the buckets that it touches, no more than the table has
+        seen = ops.agg(
+            F.count("*").alias("n"), F.count_if(insert & missing).alias("nulls"), F.count_if(F.col(f"o.{V.FROM}") > F.lit(tx)).alias("stale"), F.count_distinct(F.struct(*own)).alias("keys"),
+            F.count_if(insert).alias("inserted"), F.count_if(elsewhere).alias("moved"), F.collect_set(self._bucket(own)).alias("from_b"), F.collect_set(self._bucket(moved)).alias("to_b"),
+        ).head()
         if not seen.n:
-            self.session.unpin(pins)
             return 0
+        if seen.nulls:
+            raise NotNullViolation(f"{self.name}: a null in {', '.join(required)}")
         if seen.stale:
             raise StaleWriter(f"{self.name}: a row is newer than the transaction")
-        if seen.keys < seen.n or seen.ends < seen.n:
+        if seen.keys < seen.n or (seen.moved and ops.select(*moved).distinct().count() < seen.n):
             raise UniqueViolation(f"{self.name}: a statement writes a key twice")
-        touched = self._touched(ops.select(*own).unionByName(ops.select(*moved)))
+        touched = sorted(str(b) for b in {*seen.from_b, *seen.to_b})
         base, tail = self._live("base", touched), self._live("tail", touched)
-
-        chain = tail.select(*(F.col(c).alias(f"_k_{c}") for c in self.key), F.struct(*self.history_schema.names).alias("h"))
+        gone = ops.filter(~insert).select(*(F.col(f"o.{c}").alias(c) for c in key))
+        kept = base.join(gone, key, "left_anti")
+        if seen.moved or (seen.inserted and not matched):
+            arrived = ops.filter(~delete & (insert | elsewhere)).select(*moved)
+            if not arrived.join(kept.select(*key), key, "left_semi").isEmpty():
+                raise UniqueViolation(f"{self.name}: the key exists")
+
+        # each operation beside the newest closed version of its row, and those that no operation touches
+        chain = tail.select(*(F.col(c).alias(f"_k_{c}") for c in key), F.struct(*past.names).alias("h"))
         on = F.lit(True)
-        for c in self.key:
+        for c in key:
             on = on & (F.col(f"o.{c}") == F.col(f"_k_{c}"))
-        rows = ops.join(chain, on, "left").select("o", "n", "h")
-        delete, insert = F.col("n").isNull(), F.col("o").isNull()
+        rows = ops.withColumn("_op", F.lit(True)).join(chain, on, "full")
         differs = F.lit(False)
-        for f in self.schema:
+        for f in schema:
             if f.name not in (*V.MANAGED, *config.excluded):
                 pick = lambda side, f=f: F.array_sort(F.map_entries(f"{side}.{f.name}")) if isinstance(f.dataType, T.MapType) else F.col(f"{side}.{f.name}")
                 differs = differs | ~pick("o").eqNullSafe(pick("n"))
@@ -262,35 +293,34 @@ class TemporalTable:
         linked = F.coalesce(F.col(f"h.{V.TO}") == since, F.lit(False))
         near = F.coalesce(near, F.lit(False))
         action = (
-            F.when(insert, "insert").when(delete & (since == F.lit(tx)), "vanish").when(delete, "close").when(~differs, "same")
+            F.when(F.col("_op").isNull(), "none").when(insert, "insert").when(delete & (since == F.lit(tx)), "vanish").when(delete, "close").when(~differs, "same")
             .when(near & linked, "extend").when(near, "slide").otherwise("close")
         )
-        rows = self.session.pinned(rows.withColumn("action", action))
-        stamp = lambda start, who: F.struct(*(start.alias(c) if c == V.FROM else who.alias(c) if c == V.BY else F.col(f"n.{c}").alias(c) for c in self.schema.names))
-        fresh = F.when(F.col("action") == "same", stamp(since, F.col(f"o.{V.BY}"))).when(F.col("action") == "slide", stamp(since, F.lit(user).cast("string"))).otherwise(stamp(F.lit(tx), F.lit(user).cast("string")))
-        new_rows = rows.filter("n is not null").select(fresh.alias("r")).select("r.*")
-        gone = rows.filter("o is not null").select(*(F.col(f"o.{c}").alias(c) for c in self.key))
-        kept = base.join(gone, self.key, "left_anti")
-        clash = new_rows.join(kept.select(*self.key), self.key, "left_semi")
-        if not clash.isEmpty():
-            raise UniqueViolation(f"{self.name}: the key exists")
-        new_base = kept.unionByName(new_rows)
-
-        closing = rows.filter("action = 'close'").select(*(F.col(f"o.{c}").alias(c) if c in self.schema.names else F.lit(None).cast(f.dataType).alias(c) for f in self.history_schema for c in [f.name] if c not in (V.TO, V.DELETED_BY)), F.lit(tx).alias(V.TO), F.when(F.col("n").isNull(), F.lit(user)).cast("string").alias(V.DELETED_BY))
-        longer = rows.filter("action = 'extend'").select("h.*").withColumn(V.TO, F.lit(tx))
-        replaced = closing.select(*self.key).unionByName(longer.select(*self.key))
-        new_tail = tail.join(replaced, self.key, "left_anti").unionByName(closing.select(*tail.columns)).unionByName(longer.select(*tail.columns))
-        aged = tail.join(closing.select(*self.key), self.key, "left_semi")
-
-        by = self._bucket()
-        ordered = lambda df, *more: df.withColumn("_b", by).repartition("_b").sortWithinPartitions("_b", *self.key, *more)
-        old = {k: dict(state[k]) for k in ("base", "tail")}
-        for side, df in (("base", new_base), ("tail", new_tail)):
-            written = store.write(ordered(df), side, config.codec)
-            old[side] = {b: p for b, p in old[side].items() if b not in touched} | written
-        closed = list(state["closed"]) + list(store.write(ordered(aged, V.FROM), "closed", config.codec).values())
-        self.session.change(self.name, **old, closed=closed, newest_end=max(state["newest_end"] or 0, _micros(tx)))
-        self.session.unpin(pins)
+        rows = rows.withColumn("action", action)
+        did, who = F.col("action"), F.lit(user).cast("string")
+        fresh = {c: F.col(f"n.{c}") for c in schema.names} | {V.FROM: F.when(did.isin("same", "slide"), since).otherwise(F.lit(tx)), V.BY: F.when(did == "same", F.col(f"o.{V.BY}")).otherwise(who)}
+        before = {c: F.col(f"h.{c}") for c in past.names}
+        closing = {c: F.col(f"o.{c}") for c in schema.names if c in past.names} | {V.TO: F.lit(tx), V.DELETED_BY: F.when(delete, who)}
+        closes, known = did == "close", F.col("h").isNotNull()
+
+        # one write for all sides, where columns of the same name have the same type in base and history
+        alike = all(past[f.name].dataType == f.dataType for f in schema if f.name in past.names)
+        written: dict[str, dict[str, str]] = {}
+        for sides in [("base", "tail", "closed")] if alike else [("base",), ("tail", "closed")]:
+            fields = {f.name: f.dataType for side in sides for f in (schema if side == "base" else past)}
+            image = lambda side, values, fields=fields: F.struct(F.lit(side).alias("_side"), *(values.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in fields.items()))
+            parts = {
+                "base": lambda image=image: F.when(~delete, image("base", fresh)),
+                "tail": lambda image=image: F.when(closes, image("tail", closing)).when(did == "extend", image("tail", before | {V.TO: F.lit(tx)})).when(known, image("tail", before)),
+                "closed": lambda image=image: F.when(closes & known, image("closed", before)),
+            }
+            out = rows.select(F.explode(F.array_compact(F.array(*(parts[side]() for side in sides)))).alias("r")).select("r.*")
+            if "base" in sides:
+                out = out.unionByName(kept.select(image("base", {c: F.col(c) for c in schema.names}).alias("r")).select("r.*"))
+            put = out.withColumn("_b", self._bucket()).repartition("_side", "_b").sortWithinPartitions("_side", "_b", *key, V.FROM)
+            written |= store.write_sides(put, sides, config.codec)
+        old = {k: {b: p for b, p in state[k].items() if b not in touched} | written[k] for k in ("base", "tail")}
+        self.session.change(self.name, **old, closed=[*state["closed"], *written["closed"].values()], newest_end=max(state["newest_end"] or 0, _micros(tx)))
         return seen.n
 
     # maintenance

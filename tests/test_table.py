@@ -338,3 +338,32 @@ def test_clone_shares_data_and_no_commits(session, clock, tmp_path):
     other.table("items").delete(F.col("id") == 1)
     assert session.table("items").current().count() == 1 and other.table("items").current().count() == 0
     assert not session.pins
+
+
+def test_a_statement_is_few_jobs_and_leaves_no_scratch_rows(session, clock):
+    t = items(session, [(k, "a", "x") for k in range(20)])
+    clock.move(10)
+    source = session.spark.createDataFrame([(k, "b", "y") for k in range(10, 30)], "id int, name string, note string")
+    context = session.spark.sparkContext
+    context.setJobGroup("statement", "an upsert")
+    assert t.upsert(source) == 20
+    context.setJobGroup("none", "")
+    assert len(context.statusTracker().getJobIdsForGroup("statement")) <= 14
+    assert rows(t.current().groupBy("name").count(), "name", "count") == [("a", 10), ("b", 20)]
+    assert (t.history().count(), sorted(t.state["base"])) == (10, ["0", "1"])
+    with pytest.raises(UniqueViolation):
+        t.upsert(source.unionByName(source))
+    assert session.pins == []
+
+
+def test_keys_that_move_onto_others_are_refused_and_may_swap(session, clock):
+    t = items(session, [(k, "a", "x") for k in range(4)])
+    clock.move(10)
+    with pytest.raises(UniqueViolation):
+        t.update({"id": F.lit(3)}, F.col("id") == 1)
+    with pytest.raises(UniqueViolation):
+        t.update({"id": F.lit(9)}, F.col("id") < 2)
+    with pytest.raises(UniqueViolation):  # 1.4 has no match, but arrives as 1
+        t.upsert(session.spark.createDataFrame([(1.4, "b")], "id double, name string"))
+    assert t.update({"id": 3 - F.col("id")}) == 4
+    assert rows(t.versions(), "id", "is_current") == [(k, now) for k in range(4) for now in (False, True)]
