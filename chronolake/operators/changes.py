@@ -25,8 +25,8 @@ def change_rows(found: DataFrame, keys: Sequence[str], excluded: Sequence[str] =
     """Events in [start, end): keys, changed_at, changed_by, operation, changed_columns, and the images as structs ``old`` and ``new``.
 
     found: versions().  A version that begins where its predecessor ends is an UPDATE,
-    any other an INSERT; one that ends with no successor at that time also gives a
-    DELETE.  The predecessor is looked up before times are filtered.  With lineage,
+    any other, one of no time too, an INSERT; one that ends with no successor at that
+    time also gives a DELETE.  The predecessor is looked up before times are filtered.  With lineage,
     versions follow each other by row id rather than by key.
     """
     names = image_columns(found, excluded)
@@ -36,11 +36,11 @@ def change_rows(found: DataFrame, keys: Sequence[str], excluded: Sequence[str] =
             hit = hit & F.col(name).eqNullSafe(F.lit(value))
         # with lineage, all versions of the rows that match at any time
         found = found.join(found.filter(hit).select(ROW_ID).distinct(), ROW_ID, "left_semi") if lineage else found.filter(hit)
-    w = Window.partitionBy(*([ROW_ID] if lineage else keys)).orderBy(FROM)
+    w = Window.partitionBy(*([ROW_ID] if lineage else keys)).orderBy(F.col(FROM).asc_nulls_last())
     image = F.struct(*names)
     seen = found.select(*keys, FROM, BY, TO, DELETED_BY, CURRENT, image.alias("new"), F.lag(image).over(w).alias("before"), F.lag(TO).over(w).alias("before_to"), F.lead(FROM).over(w).alias("next"))
     inside = lambda c: (F.lit(True) if start is None else c >= moment(start)) & (F.lit(True) if end is None else c < moment(end))
-    update = F.col("before_to").eqNullSafe(F.col(FROM))
+    update = F.coalesce(F.col("before_to") == F.col(FROM), F.lit(False))
     value = lambda side, n: F.array_sort(F.map_entries(f"{side}.{n}")) if isinstance(found.schema[n].dataType, T.MapType) else F.col(f"{side}.{n}")
     differ = F.filter(F.array(*(F.when(~value("before", n).eqNullSafe(value("new", n)), F.lit(n)) for n in sorted(names))), lambda x: x.isNotNull())
     writes = seen.filter(inside(F.col(FROM))).select(

@@ -95,11 +95,11 @@ def test_an_event_that_repeats_the_values_is_a_version(spark, repeated, name):
 
 @pytest.fixture(scope="module")
 def odd(spark, repeated, tmp_path_factory):
-    """The events of ``repeated`` for 30 users, some values null and NaN."""
+    """The events of ``repeated`` for 30 users, some values null and NaN, one event of every other user at no time."""
     folder = tmp_path_factory.mktemp("odd")
     found = spark.read.parquet(f"{repeated}/events.parquet").crossJoin(spark.range(10).withColumnRenamed("id", "copy"))
     value = "CASE copy WHEN 3 THEN NULL WHEN 5 THEN double('NaN') WHEN 7 THEN NULL ELSE value + copy END AS value"
-    found.selectExpr("event_id + 54 * copy AS event_id", "ts", "user_id + 3 * copy AS user_id", "event_type", value, "props").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    found.selectExpr("event_id + 54 * copy AS event_id", "CASE WHEN copy % 2 = 0 AND event_id IN (9, 19, 53) THEN NULL ELSE ts END AS ts", "user_id + 3 * copy AS user_id", "event_type", value, "props").coalesce(1).write.parquet(f"{folder}/events.parquet")
     spark.read.parquet(f"{repeated}/orders.parquet").coalesce(1).write.parquet(f"{folder}/orders.parquet")
     return str(folder)
 
@@ -116,6 +116,11 @@ def test_days_are_the_same_in_every_time_zone(spark, repeated):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+@pytest.mark.parametrize("name", ["changes_all", "changes_columns", "changes_composed", "changes_key_split", "changes_lineage", "changes_range"])
+def test_an_event_at_no_time_comes_last(spark, odd, name):
+    test_an_event_that_repeats_the_values_is_a_version(spark, odd, name)
+
+
 def test_recursion_has_no_limit_of_rows(spark, repeated):
     whole = entry.queries()["asof_recursive"](spark, repeated).count()
     spark.conf.set("spark.sql.cteRecursionRowLimit", 1)
