@@ -74,7 +74,7 @@ def column_history(found: DataFrame, keys: Sequence[str], column: str, match: di
     if until is not None:
         found = found.filter(F.col(FROM) <= moment(until))
     by = [ROW_ID] if lineage else list(keys)
-    w = Window.partitionBy(*by).orderBy(FROM)
+    w = Window.partitionBy(*by).orderBy(F.col(FROM).asc_nulls_last())
     value = comparable(found.schema[column])
     seen = found.withColumn("_before", F.lag(value).over(w)).withColumn("_n", F.row_number().over(w))
     return seen.filter((F.col("_n") == 1) | ~F.col("_before").eqNullSafe(value)).select(*by, F.col(FROM).alias("changed_at"), F.col(BY).alias("changed_by"), F.col(column).alias("value"))

@@ -116,7 +116,7 @@ def test_days_are_the_same_in_every_time_zone(spark, repeated):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-@pytest.mark.parametrize("name", ["changes_all", "changes_columns", "changes_composed", "changes_key_split", "changes_lineage", "changes_range"])
+@pytest.mark.parametrize("name", ["changes_all", "changes_columns", "changes_composed", "changes_key_split", "changes_lineage", "changes_range", "column_history"])
 def test_an_event_at_no_time_comes_last(spark, odd, name):
     test_an_event_that_repeats_the_values_is_a_version(spark, odd, name)
 
